@@ -24,4 +24,14 @@ SELECT 'combined_campus_data' AS table_name, rec_id FROM combined_campus_data WH
 UNION ALL SELECT 'campus_pdfs' AS table_name, rec_id FROM campus_pdfs WHERE length(text) > 2000
 """
 
-ORACLES: dict[str, str] = {"p3_found": P3_FOUND, "p6_found": P6_FOUND}
+P8_FOUND = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i' AS side, item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL
+), runs AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(list_slice(w, k, k + 11), ' '))) AS run FROM words WHERE len(w) >= 12
+)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i USING (run) WHERE d.side = 'd' AND i.side = 'i'
+"""
+
+ORACLES: dict[str, str] = {"p3_found": P3_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import lines, pairs, pieces, residue
+from textloom.llm import leakage, lines, mixture, pairs, pieces, reading, residue
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -68,6 +68,45 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
     return residue.without_residue(rows, residue.residue(rows)).select("rec_id", "title", "text")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and items that share 12 consecutive words."""
+    return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items")).select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p8_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and items that share 16 words in a row with at most one word edited, and the longest such run."""
+    found = leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"), least_words=16, edits=1)
+    return found.select(F.col("id").alias("doc_id"), "item_id", "run")
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the mixture with the number of copies of each."""
+    mix, _ = mixture.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"))
+    return mix.select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and real share of each source."""
+    _, report = mixture.mixture(_table(spark, sf, "documents"), _table(spark, sf, "source_targets"))
+    return report.withColumn("actual_share", F.round("actual_share", 6))
+
+
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Difficulty and level of each document, with its surprisal distribution."""
+    found = reading.levels(_table(spark, sf, "documents"), _table(spark, sf, "reading_labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and mean surprisal of each level."""
+    return p10_levels(spark, sf).where("english").groupBy("level").agg(F.count("*").alias("docs"), F.round(F.avg("surprisal_mean"), 2).alias("surprisal"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents at level 4."""
+    return p10_levels(spark, sf).where("english AND level = 4").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_blocks": p3_blocks,
@@ -77,4 +116,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
+    "p8_found": p8_found,
+    "p8_near": p8_near,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
+    "p10_profile": p10_profile,
 }
