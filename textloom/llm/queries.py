@@ -7,13 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import leakage, lines, mixture, pairs, pieces, reading, residue
+from textloom.llm import leakage, lines, mainbody, mixture, pairs, pieces, quality, reading, residue
+from textloom.session import cut
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _body_model(spark: SparkSession, sf: str) -> mainbody.Model | None:
+    return mainbody.train(_table(spark, sf, "combined_campus_data"), _table(spark, sf, "crawl_pages"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Furniture lines of web rows."""
+    found = mainbody.furniture(_table(spark, sf, "combined_campus_data"), _body_model(spark, sf))
+    return found.select(F.col("id").alias("rec_id"), "line_no")
+
+
+def p1_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row's main body."""
+    return mainbody.main_bodies(_table(spark, sf, "combined_campus_data"), _body_model(spark, sf)).withColumnRenamed("id", "rec_id")
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "combined_campus_data")
+    return quality.scored(cut(quality.profile(rows, _body_model(spark, sf))))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose main body is a list, a table or junk."""
+    return quality.not_prose(_scores(spark, sf)).withColumnRenamed("id", "rec_id")
+
+
+def p4_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics and outlier score of each row."""
+    return _scores(spark, sf).drop("guess", "share").withColumnRenamed("id", "rec_id")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences of lines found in at least 8 rows of their site."""
     return lines.repeated_lines(_table(spark, sf, "combined_campus_data")).select(F.col("id").alias("rec_id"), F.col("line_no").cast("int").alias("line_no"))
@@ -108,9 +139,13 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_bodies": p1_bodies,
     "p3_found": p3_found,
     "p3_blocks": p3_blocks,
     "p3_clean": p3_clean,
+    "p4_found": p4_found,
+    "p4_statistics": p4_statistics,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
