@@ -5,6 +5,28 @@ from __future__ import annotations
 _NORMAL = r"""trim(regexp_replace(regexp_replace(lower(raw), '[0-9]+', '0', 'g'), '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f\x{0085}\x0b]+', ' ', 'g'))"""
 _HOST = r"""regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/@?#]*@)?(?:www\.)?([^/:?#\s]+)', 1)"""
 
+P2_FOUND = r"""
+WITH words AS (
+  SELECT rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM combined_campus_data WHERE text IS NOT NULL
+), sets AS (
+  SELECT rec_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(list_slice(w, k, k + 2), ' ')))) AS s FROM words WHERE len(w) >= 30
+), class AS (
+  SELECT s, min(rec_id) AS cid FROM sets GROUP BY s
+), member AS (
+  SELECT rec_id, cid FROM sets JOIN class USING (s)
+), element AS (
+  SELECT cid, len(s) AS n, unnest(s) AS e FROM class
+), shared AS (
+  SELECT x.cid AS a, y.cid AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS n_both
+  FROM element x JOIN element y ON x.e = y.e AND x.cid < y.cid AND least(x.n, y.n) >= 0.6 * greatest(x.n, y.n)
+  GROUP BY x.cid, y.cid
+), link AS (
+  SELECT a, b FROM shared WHERE n_both >= 0.6 * (na + nb - n_both) - 1e-9
+)
+SELECT least(p.rec_id, q.rec_id) AS rec_a, greatest(p.rec_id, q.rec_id) AS rec_b FROM link JOIN member p ON p.cid = link.a JOIN member q ON q.cid = link.b
+UNION ALL SELECT p.rec_id AS rec_a, q.rec_id AS rec_b FROM member p JOIN member q ON p.cid = q.cid AND p.rec_id < q.rec_id
+"""
+
 P3_FOUND = rf"""
 WITH raw_lines AS (
   SELECT rec_id, {_HOST} AS site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
@@ -34,4 +56,4 @@ WITH words AS (
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i USING (run) WHERE d.side = 'd' AND i.side = 'i'
 """
 
-ORACLES: dict[str, str] = {"p3_found": P3_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+ORACLES: dict[str, str] = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import leakage, lines, mainbody, mixture, pairs, pieces, quality, reading, residue
+from textloom.llm import leakage, lines, mainbody, mixture, neardup, pairs, pieces, quality, reading, residue
 from textloom.session import cut
 
 
@@ -30,6 +30,20 @@ def p1_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return mainbody.main_bodies(_table(spark, sf, "combined_campus_data"), _body_model(spark, sf)).withColumnRenamed("id", "rec_id")
 
 
+def _near(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(_table(spark, sf, "combined_campus_data"), t=0.6, k=3, least_words=30)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of rows with at least 30 words whose sets of three consecutive words overlap by 0.6 or more."""
+    return neardup.pairs_of_rows(*_near(spark, sf))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row with the class of its equal texts and its number of links to other classes."""
+    return neardup.row_report(*_near(spark, sf)).withColumnRenamed("id", "rec_id")
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = _table(spark, sf, "combined_campus_data")
     return quality.scored(cut(quality.profile(rows, _body_model(spark, sf))))
@@ -141,6 +155,8 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_bodies": p1_bodies,
+    "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p3_blocks": p3_blocks,
     "p3_clean": p3_clean,
