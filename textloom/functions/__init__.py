@@ -1 +1 @@
-
+"""Column functions with the string semantics the operators share."""
