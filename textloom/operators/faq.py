@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.rules import QUICK_LINK_THRESHOLD
 
@@ -44,7 +45,7 @@ def answer(description: Column, title: Column, url: Column, confidence: Column)
     return F.concat(F.lit("**Quick Answer:**\n\n"), description, F.lit("\n\n**[Visit "), title, F.lit("]("), url, F.lit(")**\n\n*This is a high-confidence direct link (confidence: "), percent, F.lit(")*\n"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two lower-cased texts; null if either is null."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)], dtype="float64")

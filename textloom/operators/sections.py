@@ -7,11 +7,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.strings import strip
 from textloom.rules import LEAST_SECTION
 
-ANCHOR = "array<struct<anchor_id:string,header_text:string,anchor_url:string,level:string>>"
+ANCHOR = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("anchor_id", "header_text", "anchor_url", "level")]))
 _HEADERS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -71,7 +72,7 @@ def sections(markdown: Column, anchors: Column, url: Column, least: int = LEAST_
 
     def build(part: Column) -> Column:
         title = F.when(part.rlike(header), strip(F.regexp_extract(part, header, 2)))
-        mine = F.element_at(F.filter(anchors, lambda a: a["header_text"] == title), 1)
+        mine = F.try_element_at(F.filter(anchors, lambda a: a["header_text"] == title), F.lit(1))
         return F.struct(
             title.alias("section_header"), strip(part).alias("section_content"), F.when(title.isNotNull(), mine["anchor_id"]).alias("anchor_id"),
             F.coalesce(mine["anchor_url"], url).alias("anchor_url"), F.when(title.isNotNull(), F.concat(F.lit("h"), F.length(F.regexp_extract(part, header, 1)))).alias("header_level"),

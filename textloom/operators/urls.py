@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.strings import contains_any
 from textloom.rules import DEFAULT_SITE, IGNORED_EXTENSIONS, Site
@@ -46,7 +47,7 @@ def hrefs(html: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     """RFC 3986 resolution of a link; null if either is null, the link itself if it can't be resolved."""
 
