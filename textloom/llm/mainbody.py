@@ -69,13 +69,11 @@ COL = {n: i for i, n in enumerate(BASE_NAMES)}
 def _line_features(line: str, host: str) -> list[float]:
     s = line.strip()
     words = WORD.findall(s)
-    low = [w.lower() for w in words]
+    low = WORD.findall(s.lower())
     n = len(words) or 1
     hits = [0] * len(NAMES)
-    function = 0
+    function = sum(map(OF_WORD.__contains__, low))
     for w in low:
-        if w in OF_WORD:
-            function += 1
         if bits := _BIT.get(w):
             for k in range(len(NAMES)):
                 if bits >> k & 1:
@@ -85,12 +83,12 @@ def _line_features(line: str, host: str) -> list[float]:
     links = LINK.findall(s) if "](" in s else ()
     own = sum(1 for _, to in links if to[:1] in "#/." or (host and host in to))
     chars = len(s)
-    digits = sum(map(str.isdigit, s))
+    digits = sum(map(s.count, "0123456789"))
     return [
         len(words), chars, len(line) - len(line.lstrip()), (1 if bullet.group(1) else 2 if bullet.group(2) else 3) if bullet else 0, len(heading.group(1)) if heading else 0,
-        1.0 if STOP.search(s) else 0.0, sum(len(a) + len(b) + 4 for a, b in links) / chars if links else 0.0, len(links), function / n, function, sum(1 for w in words if w[:1].isupper()) / n,
+        1.0 if STOP.search(s[-8:]) else 0.0, sum(len(a) + len(b) + 4 for a, b in links) / chars if links else 0.0, len(links), function / n, function, sum(1 for w in words if w[:1].isupper()) / n,
         1.0 if s.isupper() else 0.0, digits / (chars or 1), s.count(" | "), s.count(" · ") + s.count(" • "), s.count(" > ") + s.count(" » "), s.count(" / "),
-        sum(1 for c in s if c in MARKS), 1.0 if PHONE.search(s) else 0.0, 1.0 if "@" in s and EMAIL.search(s) else 0.0, 1.0 if digits and DATE.search(s) else 0.0, 1.0 if digits and YEAR.search(s) else 0.0,
+        0 if s.isascii() else sum(1 for c in s if c in MARKS), 1.0 if digits and PHONE.search(s) else 0.0, 1.0 if "@" in s and EMAIL.search(s) else 0.0, 1.0 if digits and DATE.search(s) else 0.0, 1.0 if digits and YEAR.search(s) else 0.0,
         1.0 if s.endswith(")") else 0.0, s.count(","), s.count("  "), s.count("\t"), s.count(":"), 1.0 if s[:1] == "|" else 0.0, 1.0 if s[:1] == "<" else 0.0, own, 1.0 if s.startswith("**") and s.endswith("**") else 0.0,
         1.0 if s and not words else 0.0, *hits,
     ]
@@ -367,14 +365,22 @@ def predict(model: Model, lines: Lines) -> np.ndarray:
     return decode(model.line.predict(x), model.block.predict(z), lines.block, lines.row)
 
 
+def _sample(df: DataFrame, most: int) -> list:
+    """The `most` rows with the smallest _o, a hash. A bound on the hash keeps all but about twice as many rows where they are."""
+    n = df.count()
+    if n > 2 * most:
+        df = df.where(F.col("_o") < F.lit(int(-(1 << 63) + (1 << 64) * min(1.0, 2 * most / n))))
+    return df.orderBy(*df.columns).limit(most).collect()
+
+
 def train(rows: DataFrame, pages: DataFrame | None, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", kind_col: str = "source_type", most_rows: int = MAX_TRAINING_ROWS, most_pages: int = MAX_TRAINING_PAGES) -> Model | None:
     """A model from at most most_rows web rows and most_pages pages, those with the smallest hashes of their ids."""
     web = rows.where(F.coalesce(F.lower(F.trim(kind_col)), F.lit("")) != "pdf").where(F.length(text_col) > 0)
-    some = web.select(F.xxhash64(F.col(id_col)).alias("_o"), F.col(text_col).alias("t"), F.col(url_col).alias("u")).orderBy("_o", "t").limit(most_rows).collect()
+    some = _sample(web.select(F.xxhash64(F.col(id_col)).alias("_o"), F.col(text_col).alias("t"), F.col(url_col).alias("u")), most_rows)
     crawled = []
     if pages is not None:
         good = pages.where("html IS NOT NULL AND html LIKE '%<main%' AND html LIKE '%</main>%'")
-        crawled = [(r["html"], r["url"]) for r in good.select(F.xxhash64("page_id").alias("_o"), "html", "url").orderBy("_o").limit(most_pages).collect()]
+        crawled = [(r["html"], r["url"]) for r in _sample(good.select(F.xxhash64("page_id").alias("_o"), "html", "url"), most_pages)]
     return fit([r["t"] for r in some], [r["u"] for r in some], crawled) if some else None
 
 
