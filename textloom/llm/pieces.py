@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
 WORD = re.compile(r"[^\W_]+")
-BOUNDARY = re.compile(r"(\n[^\S\n]*\n\s*)|(\n)|((?<=[.!?…])[\"”’)\]]*\s+)")
+BOUNDARY = re.compile(r"([^\S\n]*\n[^\S\n]*\n\s*)|([^\S\n]*\n)|((?<=[.!?…])[\"”’)\]]*\s+)")
 SPACE = re.compile(r"\s+")
 CLASS_WEIGHT = {1: 0.5, 2: 0.25, 3: 0.0}  # of paragraph, line and sentence ends, against valley depths from 0 to 2
 

@@ -103,7 +103,7 @@ def _is_code(text: str) -> bool:
     if sum(1 for x in lines if _CODE_LINE.search(x)) >= 0.5 * len(lines) and len(lines) > 1:
         return True
     dense = [c for c in text if not c.isspace()]
-    return sum(1 for c in dense if c.isalnum()) < 0.55 * len(dense)
+    return len(dense) > 40 and sum(1 for c in dense if c.isalnum()) < 0.55 * len(dense)
 
 
 def placeholders(text: str) -> list[str]:
