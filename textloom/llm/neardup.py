@@ -30,10 +30,11 @@ from textloom.session import cut
 U = np.uint64
 SAMPLE_DOCS = 10_000  # for shingle frequencies, which only steer costs
 SAMPLE_LEAST = 3
-NEED_BITS = 6.5  # a content is usable if at most one in 2^NEED_BITS records is expected to have it
-PER_SEGMENT = 2.4  # elements in a segment, for the largest sets of a band
-SETS_PER_PART = 10_000
-LEAST_PARTS = 24
+NEED_BITS = 7.0  # a content is usable if at most one in 2^NEED_BITS records is expected to have it
+PER_SEGMENT = 2.0  # elements in a segment, for the largest sets of a band
+SETS_PER_PART = 15_000
+LEAST_PARTS = 16
+MAP_BITS = 1.2  # bits of a parity map per element of the largest sets of a band
 PAIRS_AT_ONCE = 2_000_000
 MOST_BROADCAST_KEYS = 2_000_000
 HARD_BLOCK = 2_000  # records compared with all others at once
@@ -132,7 +133,7 @@ def parity_maps(first: np.ndarray, h: np.ndarray, scheme: np.ndarray, t: float)
     mixed = tokens.mix(h + U(0x2545F4914F6CDD1D))
     for j in np.unique(scheme):
         sets = np.flatnonzero(scheme == j)
-        words = int(max(1, math.ceil(1.7 * (1 / t) ** (j + 1) / 64)))
+        words = int(max(1, math.ceil(MAP_BITS * (1 / t) ** (j + 1) / 64)))
         place = np.full(len(first) - 1, -1)
         place[sets] = np.arange(len(sets))
         mine = place[owner] >= 0
@@ -158,7 +159,7 @@ def blobs(first: np.ndarray, h: np.ndarray, keys: np.ndarray, costs: Costs, t: f
         if not step:
             hard = sums < budget(size, t) + 1
         part = (sig >> U(40)) % U(parts)
-        low = sig.astype(np.uint32)
+        low = (sig & U(0xFFFFFF)).astype(np.uint32)  # within a part and scheme, 24 bits tell enough; the maps and the verification do the rest
         maps = parity_maps(first, h, scheme, t)
         for j, members, bitmap in maps:
             at = np.flatnonzero(scheme[sets] == j)
@@ -175,7 +176,7 @@ def blobs(first: np.ndarray, h: np.ndarray, keys: np.ndarray, costs: Costs, t: f
                 narrow = packed.astype(np.uint16) if len(local) < 32768 else packed
                 owners = members[local]
                 signed = np.where(step, -size[owners], size[owners]).astype(np.int32)  # negative: here as the smaller one
-                rows.append((p, j, keys[owners].tobytes(), signed.tobytes(), bitmap[local].tobytes(), low[mine].tobytes(), narrow.tobytes()))
+                rows.append((p, j, keys[owners].tobytes(), signed.tobytes(), bitmap[local].tobytes(), low[mine].view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), narrow.tobytes()))
     return rows, hard
 
 
@@ -191,14 +192,16 @@ def candidate_pairs(rows: list[tuple], t: float) -> Iterator[tuple[np.ndarray, n
         maps = np.concatenate([np.frombuffer(r[4], U).reshape(-1, width) for r in group])
         counts = [len(r[2]) // 8 for r in group]
         offset = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        sig = np.concatenate([np.frombuffer(r[5], np.uint32) for r in group])
-        packed = [np.frombuffer(r[6], np.uint16 if len(r[6]) == len(r[5]) // 2 else np.uint32).astype(np.int64) for r in group]
-        owner = np.concatenate([(x >> 1) + o for x, o in zip(packed, offset)])
-        variant = np.concatenate([x & 1 for x in packed]).astype(np.uint64)
+        raw = np.concatenate([np.frombuffer(r[5], np.uint8) for r in group]).reshape(-1, 3).astype(np.uint32)
+        sig = raw[:, 0] | raw[:, 1] << np.uint32(8) | raw[:, 2] << np.uint32(16)
+        del raw
+        packed = [np.frombuffer(r[6], np.uint16 if len(r[6]) // 2 == len(r[5]) // 3 else np.uint32) for r in group]
+        owner = np.concatenate([(x >> 1).astype(np.int32) + np.int32(o) for x, o in zip(packed, offset)])
+        variant = np.concatenate([(x & 1).astype(np.uint8) for x in packed])
         # equal sets from several batches become one
         _, canonical, back = np.unique(np.stack((keys, sizes)), axis=1, return_index=True, return_inverse=True)
-        owner = canonical[back.reshape(-1)][owner]
-        order = np.argsort((sig.astype(U) << U(1)) | variant, kind="stable")
+        owner = canonical[back.reshape(-1)].astype(np.int32)[owner]
+        order = np.argsort((sig << np.uint32(1)) | variant, kind="stable").astype(np.int32)
         sig, owner, variant = sig[order], owner[order], variant[order]
         same = np.concatenate(([False], (sig[1:] == sig[:-1]) & (owner[1:] == owner[:-1]) & (variant[1:] == variant[:-1])))
         sig, owner, variant = sig[~same], owner[~same], variant[~same]
