@@ -76,6 +76,11 @@ def test_copies_stay_one_class(spark):
     df = spark.createDataFrame([(i, text) for i in range(300)] + [(1000, text + " more")], "rec_id long, text string")
     members, links = neardup.near_duplicates(df, t=0.6, k=3, least_words=10)
     assert links.count() == 1
+    kept, neardup.HOT_CLASS = neardup.HOT_CLASS, 50
+    try:
+        assert neardup.pairs_of_rows(members, links).distinct().count() == neardup.pairs_of_rows(members, links).count() == 300 * 299 // 2 + 300
+    finally:
+        neardup.HOT_CLASS = kept
     got = {r.id: (r.class_id, r.copies, r.links) for r in neardup.row_report(members, links).collect()}
     assert got[299] == (0, 300, 1) and got[1000] == (1000, 1, 1)
 

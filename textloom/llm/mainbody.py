@@ -36,7 +36,7 @@ GROUPS = {
     "nav": "home about contact directory news events calendar apply visit give alumni athletics parents students staff faculty library campus life dining housing parking maps safety policies forms jobs careers tuition portal email bookstore research programs majors academics admissions a-z index login explore departments".split(),
     "consent": "cookie cookies privacy consent vendors identifiers device browser storage essential preferences choices analytics gdpr settings sold optional agree tracking".split(),
     "button": "accept reject close decline manage save ok got agree learn more allow dismiss".split(),
-    "share": "share shared sharing like liked follow friend post tag pass copy tweet pin send print enjoyed readers people save later tell".split(),
+    "share": "share shared sharing like liked saved follow friend post tag pass copy tweet pin send print enjoyed readers people save later tell".split(),
     "signup": "newsletter subscribe subscription sign alerts inbox updates mailing enter register receive".split(),
     "byline": "by written posted updated last story photo published author reporter reviewed maintained min read since edited contributor".split(),
     "legal": "reserves right liability liable accredited commission responsible notice guidance accepts errors external linked offerings equal discriminate nondiscrimination report annual independent contract copyright university reserves publishes safety commission campus centre school including held".split(),
@@ -188,8 +188,8 @@ def features(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
 SEEDS = re.compile(
     r"^(?:\[?(?:skip|jump) (?:to|over)\b.*|toggle .{0,60}menu|\W*menu|search [^.]{2,60}|.{0,8}back to (?:the )?(?:top|start)\b.*|return to the .{2,60} index|↑.*"
     r"|you are here\b.*|.*\bcookies?\b.{0,120}|.*\b(?:browser storage|identifiers on your device|essential ones cannot|nothing is sold|privacy (?:choices|page|policy|matters)|we and our vendors|read the notice for details)\b.*|\*\*privacy at .*"
-    r"|\[?(?:accept(?: all)?|reject(?: all)?|decline(?: optional)?|got it|ok i agree|i agree|learn more|close|save choices|manage preferences|allow all)(?:\]\(#?\))?(?:\s*\[.{2,30}\]\(#?\))*"
-    r"|[\d,.]+ people (?:shared|liked)\b.*|(?:follow us|pass it on|tell a friend|save for later|copy link|share this page|enjoyed this page|like this story|post it|send by email|print this article)\b[^.]*|enjoyed this page\?.*|\[?\w+\]\(\S*/go/\w+\)|.*\]\(\S*/go/\w+\)"
+    r"|top of page\b.*|skip navigation\b.*|join [\d,]+ readers\b.*|\[?(?:accept(?: all)?|reject(?: all)?|decline(?: optional)?|got it|ok i agree|i agree|learn more|close|save choices|manage preferences|allow all)(?:\]\(#?\))?(?:\s*\[.{2,30}\]\(#?\))*"
+    r"|[\d,.]+ people (?:shared|liked|saved)\b.*|(?:follow us|pass it on|tell a friend|save for later|copy link|share this page|enjoyed this page|like this story|post it|send by email|print this article)\b[^.]*|enjoyed this page\?.*|\[?\w+\]\(\S*/go/\w+\)|.*\]\(\S*/go/\w+\)"
     r"|get the .{2,60} newsletter\b.*|sign up for .{2,60}|.*\benter your email\b.*|.*\bpress subscribe\b.*"
     r"|by (?:\S+ ){1,3}\S+, [^.]{3,60}|written for [^.]{3,80}|(?:posted|published|last updated|updated|last reviewed)(?: on)? \d[^.]{3,90}|story: .{2,60}\| ?photo: .*|.{3,90}\b\d+ min read|maintained by [^.]{3,70}"
     r"|.*\buniversity (?:reserves the right|may not be held|is accredited|provides this material|publishes its annual|does not discriminate|complies with)\b.*|.*\b(?:all rights reserved|an equal access employer)\b.*"

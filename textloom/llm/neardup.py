@@ -37,6 +37,7 @@ LEAST_PARTS = 16
 MAP_BITS = 1.2  # bits of a parity map per element of the largest sets of a band
 PAIRS_AT_ONCE = 2_000_000
 MOST_BROADCAST_KEYS = 2_000_000
+HOT_CLASS, HOT_PARTS = 1_000, 64  # classes with more rows are split over this many parts when pairs of rows are listed
 HARD_BLOCK = 2_000  # records compared with all others at once
 
 
@@ -427,8 +428,13 @@ def near_duplicates(rows: DataFrame, id_col: str = "rec_id", text_col: str = "te
 def pairs_of_rows(members: DataFrame, links: DataFrame) -> DataFrame:
     """(rec_a, rec_b), rec_a < rec_b: links and classes written out as pairs of rows. Grows with the square of a class: a listing
     that asks for every pair has that many rows."""
-    m, n = members.alias("m"), members.alias("n")
-    inside = m.join(n, (F.col("m.key") == F.col("n.key")) & (F.col("m.id") < F.col("n.id"))).select(F.col("m.id").alias("rec_a"), F.col("n.id").alias("rec_b"))
+    large = members.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_CLASS).select("key", F.lit(True).alias("_hot"))
+    marked = members.join(large, "key", "left")
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).otherwise(F.lit(0))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    m = marked.select("key", "id", spread.cast("int").alias("part")).alias("m")
+    n = marked.select("key", "id", F.explode(every).alias("part")).alias("n")
+    inside = m.join(n, (F.col("m.key") == F.col("n.key")) & (F.col("m.part") == F.col("n.part")) & (F.col("m.id") < F.col("n.id"))).select(F.col("m.id").alias("rec_a"), F.col("n.id").alias("rec_b"))
     left = links.join(members.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
     return inside.unionByName(left.select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")))
 

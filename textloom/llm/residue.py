@@ -166,14 +166,10 @@ def message_kind(text: str) -> str | None:
 def kinds(title: str | None, text: str | None) -> list[str]:
     """Kinds of residue of one row, in a fixed order."""
     title, text = title or "", text or ""
-    out = []
-    if placeholders(title) or placeholders(text):
-        out.append("placeholder")
-    if text and is_filler(text):
-        out.append("filler")
-    if text and not out and (kind := message_kind(text)):
-        out.append(kind)
-    return out
+    slots = placeholders(text)
+    filler = bool(text) and is_filler(text)
+    message = message_kind(text) if text and not slots and not filler else None
+    return [k for k, found in (("placeholder", slots or placeholders(title)), ("filler", filler), (message, message)) if found]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
