@@ -109,12 +109,10 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
     mix = cut(ordered.withColumn("copies", _per_source(rows, "copies", "int") + chosen).where("copies > 0").select("id", "source", "tokens", "copies"))
     used = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_docs"), F.max("copies").alias("most_copies"))
     goals = spark.createDataFrame([(r["source"], r["share"], r["repeats"], r["docs"], r["have"]) for r in rows], "source string, target_share double, max_repeats int, docs long, tokens long")
-    whole = used.agg(F.sum("used_tokens").alias("_whole"))
+    whole = mix.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0
     report = (
         goals.join(used, "source", "left")
         .fillna(0, ["used_tokens", "used_docs", "most_copies"])
-        .join(F.broadcast(whole))  # one row
-        .withColumn("actual_share", F.coalesce(F.col("used_tokens") / F.col("_whole"), F.lit(0.0)))
-        .drop("_whole")
+        .withColumn("actual_share", F.col("used_tokens") / F.lit(float(max(whole, 1))))
     )
     return mix, report
