@@ -32,10 +32,10 @@ def hard_negatives(oracles: DataFrame, store: DataFrame, want: int = 3, least: i
         ranked = ranked.where(F.col("parent") != F.col("query_id"))
     kept = ranked.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("n") <= want)
     found = kept.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc"))), lambda x: x["doc"]).alias("near"))
-    spare = store.where("text IS NOT NULL").orderBy(F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))).limit(4 * want).agg(F.collect_list("text").alias("spare"))
-    padded = own.join(found, "query_id", "left").join(F.broadcast(spare))  # one row of 4 * want texts
+    spare = [r["text"] for r in store.where("text IS NOT NULL").orderBy(F.md5(F.concat(F.lit(seed), F.col("id").cast("string")))).select("text").limit(4 * want).collect()]  # 4 * want texts
+    padded = own.join(found, "query_id", "left")
     have = F.coalesce("near", F.array().cast("array<string>"))
-    pads = F.slice(F.filter("spare", lambda x: x != F.col("own_text")), 1, want)
+    pads = F.slice(F.filter(F.array(*map(F.lit, spare)).cast("array<string>"), lambda x: x != F.col("own_text")), 1, want)
     return padded.select(F.col("query_id").alias("oracle_id"), F.slice(F.concat(have, pads), 1, want).alias("distractors"))
 
 

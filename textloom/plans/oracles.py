@@ -51,8 +51,6 @@ AUTH = lambda u: f"regexp_extract({u}, '^[^:/?#]+://([^/?#]*)', 1)"  # noqa: E73
 PATH = lambda u: f"regexp_extract({u}, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
 HREFS = """coalesce(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1), [])"""
 WEB = "source_type IS NULL OR source_type <> 'pdf'"
-HIT = """'Source: ' || coalesce(title, 'No Title') || CASE WHEN coalesce(section_header, '') <> '' THEN ' - ' || section_header ELSE '' END
- || CASE WHEN source_type = 'pdf' AND coalesce(pdf_page, 0) <> 0 THEN ' (PDF Page ' || pdf_page || ')' ELSE '' END || chr(10) || 'Link: ' || coalesce(anchor_url, url, 'Unknown URL') || chr(10) || 'Content: ' || coalesce(left(text, 100), '') || chr(10) || chr(10)"""
 FAQ = """
 WITH kw AS (SELECT faq_ix, category, url, title, description, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS kw_ix FROM faq_links),
 hit AS (
@@ -175,7 +173,10 @@ WITH l AS (SELECT rec_id, unnest(string_split(text, chr(10))) AS x, generate_sub
 h AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY k) - 1 AS ix FROM l WHERE contains(x, 'http'))
 SELECT rec_id, CAST(ix AS INTEGER) AS ix, 'http' || {strip("split_part(split_part(x, 'http', 2), ')', 1)")} AS url,
   CASE WHEN {strip("replace(split_part(x, 'http', 1), 'Source:', '')")} = '' THEN 'University Resource' ELSE {strip("replace(split_part(x, 'http', 1), 'Source:', '')")} END AS title FROM h""",
-    "hit_format": f"SELECT rec_id % 1000 AS grp, string_agg({HIT}, '' ORDER BY rec_id) AS answer FROM combined_campus_data WHERE url IS NOT NULL GROUP BY 1",
+    "hit_format": """
+WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT query_id, string_agg('Source: ' || coalesce(title, 'No Title') || CASE WHEN coalesce(source, '') <> '' THEN ' - ' || source ELSE '' END || chr(10) || 'Link: ' || coalesce(url, 'Unknown URL') || chr(10) || 'Content: ' || coalesce(left(text, 100), '') || chr(10) || chr(10), '' ORDER BY n) AS answer
+FROM d JOIN documents ON doc_id = id WHERE n <= 5 GROUP BY query_id""",
     "cite_links": "SELECT rec_id, CASE WHEN coalesce(section_header, '') <> '' THEN '[' || title || ' - ' || section_header || '](' || anchor_url || ')' ELSE '[' || title || '](' || url || ')' END AS link FROM combined_campus_data",
     "hard_negative_rows": """
 WITH s AS (SELECT doc_id AS id, text, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL),

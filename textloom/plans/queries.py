@@ -312,10 +312,12 @@ def source_extract(spark, sf):
 
 @query
 def hit_format(spark, sf):
-    """Records of each page as one text of hits, in the order of their chunks."""
-    c = table(spark, sf, "combined_campus_data").where("url IS NOT NULL")
-    shown = c.select("rec_id", retrieval.hit_text(F.col("title"), F.col("section_header"), F.col("source_type"), F.col("pdf_page"), F.coalesce("anchor_url", "url"), F.left("text", F.lit(100))).alias("t"), (F.col("rec_id") % 1000).alias("grp"))
-    return retrieval.joined_hits(shown, "grp", "rec_id", "t")
+    """The 5 nearest documents of every 20th vector as one text, in the order of their ranks."""
+    e = table(spark, sf, "embeddings")
+    near = retrieval.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "title", "source", "url", "text")
+    t = retrieval.hit_text(F.col("title"), F.col("source"), F.lit("web"), F.lit(0), F.col("url"), F.left("text", F.lit(100)))
+    return retrieval.joined_hits(near.join(d, "id").withColumn("t", t), "query_id", "rank", "t")
 
 
 @query
