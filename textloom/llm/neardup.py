@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ SAMPLE_DOCS = 10_000  # for shingle frequencies, which only steer costs
 SAMPLE_LEAST = 3
 NEED_BITS = 7.0  # a content is usable if at most one in 2^NEED_BITS records is expected to have it
 PER_SEGMENT = 2.0  # elements in a segment, for the largest sets of a band
-SETS_PER_PART = 15_000
-LEAST_PARTS = 16
-MAP_BITS = 1.2  # bits of a parity map per element of the largest sets of a band
-PAIRS_AT_ONCE = 2_000_000
+SETS_PER_PART = 20_000
+LEAST_PARTS = 12
+MAP_BITS = 1.3  # bits of a parity map per element of the largest sets of a band
+PAIRS_AT_ONCE = 250_000  # few enough for the caches
 MOST_BROADCAST_KEYS = 2_000_000
 HOT_CLASS, HOT_PARTS = 1_000, 64  # classes with more rows are split over this many parts when pairs of rows are listed
 HARD_BLOCK = 2_000  # records compared with all others at once
@@ -144,6 +145,28 @@ def parity_maps(first: np.ndarray, h: np.ndarray, scheme: np.ndarray, t: float)
     return out
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted 24-bit numbers as 16-bit steps; a step that needs more is 65535 and stands, whole, in a list at the end."""
+    steps = np.diff(x, prepend=np.uint32(0)).astype(np.uint32)
+    wide = steps >= 65535
+    return np.uint32(len(x)).tobytes() + np.where(wide, 65535, steps).astype(np.uint16).tobytes() + steps[wide].tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    steps = np.frombuffer(raw, np.uint16, n, 4).astype(np.uint32)
+    steps[steps == 65535] = np.frombuffer(raw, np.uint32, -1, 4 + 2 * n)
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 BLOB = "part int, scheme int, keys binary, sizes binary, maps binary, signatures binary, refs binary"
 
 
@@ -177,7 +200,7 @@ def blobs(first: np.ndarray, h: np.ndarray, keys: np.ndarray, costs: Costs, t: f
                 narrow = packed.astype(np.uint16) if len(local) < 32768 else packed
                 owners = members[local]
                 signed = np.where(step, -size[owners], size[owners]).astype(np.int32)  # negative: here as the smaller one
-                rows.append((p, j, keys[owners].tobytes(), signed.tobytes(), bitmap[local].tobytes(), low[mine].view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), narrow.tobytes()))
+                rows.append((p, j, keys[owners].tobytes(), squeeze(signed.tobytes()), bitmap[local].tobytes(), squeeze(pack_sorted(low[mine])), squeeze(narrow.tobytes())))
     return rows, hard
 
 
@@ -188,15 +211,16 @@ def candidate_pairs(rows: list[tuple], t: float) -> Iterator[tuple[np.ndarray, n
         by_scheme.setdefault(r[1], []).append(r)
     for group in by_scheme.values():
         keys = np.concatenate([np.frombuffer(r[2], np.int64) for r in group])
-        sizes = np.concatenate([np.frombuffer(r[3], np.int32) for r in group]).astype(np.int64)
+        sizes = np.concatenate([np.frombuffer(unsqueeze(r[3]), np.int32) for r in group]).astype(np.int64)
         width = len(group[0][4]) // (len(group[0][2]) // 8) // 8
         maps = np.concatenate([np.frombuffer(r[4], U).reshape(-1, width) for r in group])
         counts = [len(r[2]) // 8 for r in group]
         offset = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        raw = np.concatenate([np.frombuffer(r[5], np.uint8) for r in group]).reshape(-1, 3).astype(np.uint32)
-        sig = raw[:, 0] | raw[:, 1] << np.uint32(8) | raw[:, 2] << np.uint32(16)
-        del raw
-        packed = [np.frombuffer(r[6], np.uint16 if len(r[6]) // 2 == len(r[5]) // 3 else np.uint32) for r in group]
+        each = [unpack_sorted(unsqueeze(r[5])) for r in group]
+        refs = [unsqueeze(r[6]) for r in group]
+        packed = [np.frombuffer(r, np.uint16 if len(r) == 2 * len(x) else np.uint32) for r, x in zip(refs, each)]
+        sig = np.concatenate(each)
+        del each
         owner = np.concatenate([(x >> 1).astype(np.int32) + np.int32(o) for x, o in zip(packed, offset)])
         variant = np.concatenate([(x & 1).astype(np.uint8) for x in packed])
         # equal sets from several batches become one
@@ -210,24 +234,25 @@ def candidate_pairs(rows: list[tuple], t: float) -> Iterator[tuple[np.ndarray, n
         end = np.repeat(np.concatenate((start[1:], [len(sig)])), np.diff(np.concatenate((start, [len(sig)]))))
         left = np.flatnonzero((variant == 0) & (end > np.arange(len(sig)) + 1))
         n = end[left] - left - 1
-        edges = np.searchsorted(np.cumsum(n), np.arange(0, n.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE)[1:], "right") if len(n) else []
+        ahead = np.concatenate(([0], np.cumsum(n)))
+        columns = np.ascontiguousarray(maps.T)
+        size = np.abs(sizes).astype(np.int32)
+        lower = sizes < 0
+        most = (1 - t) / (1 + t)
+        owner = owner.astype(np.int64)
         a = 0
-        for b in [*edges, len(left)]:
-            b = max(int(b), a)
-            if b == a and a < len(left):
-                b = a + 1
-            if a >= len(left):
-                break
+        while a < len(left):
+            b = max(a + 1, int(np.searchsorted(ahead, ahead[a] + PAIRS_AT_ONCE, "right")) - 1)
             x = np.repeat(left[a:b], n[a:b])
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.concatenate(([0], np.cumsum(n[a:b])[:-1])), n[a:b])
-            x, y = owner[x], owner[y]
-            sx, sy = np.abs(sizes[x]), np.abs(sizes[y])
-            ok = (keys[x] != keys[y]) & ((sizes[x] > 0) | (sizes[y] > 0)) & (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9)
-            x, y, sx, sy = x[ok], y[ok], sx[ok], sy[ok]
-            far = np.zeros(len(x), np.int64)
-            for w in range(width):
-                far += np.bitwise_count(maps[x, w] ^ maps[y, w])
-            ok = far <= (1 - t) / (1 + t) * (sx + sy) + 1e-9
+            y = owner[x + 1 + np.arange(len(x)) - np.repeat(ahead[a:b] - ahead[a], n[a:b])]
+            x = owner[x]
+            sx, sy = size[x], size[y]
+            ok = (x != y) & (np.minimum(sx, sy) >= t * np.maximum(sx, sy) - 1e-9) & ~(lower[x] & lower[y])
+            x, y, room = x[ok], y[ok], (most * (sx[ok] + sy[ok]) + 1e-9)
+            far = np.zeros(len(x), np.int32)
+            for column in columns:
+                far += np.bitwise_count(column[x] ^ column[y])
+            ok = far <= room
             u, v = keys[x[ok]], keys[y[ok]]
             yield np.minimum(u, v), np.maximum(u, v)
             a = b
@@ -285,24 +310,21 @@ class Join:
         return self.texts.mapInArrow(run, "id long, key long")
 
     def costs(self, classes: int) -> Costs:
-        """Frequencies of shingles from the SAMPLE_DOCS classes with the smallest keys; at most sample size / SAMPLE_LEAST values."""
+        """Frequencies of shingles in about SAMPLE_DOCS rows, those with the smallest hashes of their ids; at most the sample's
+        shingles / SAMPLE_LEAST values."""
         sets = self._sets
-        top = (1 << 64) - 1
-        limit = min(top, int(top * min(1.0, SAMPLE_DOCS / max(classes, 1))))
+        share = min(1.0, 1.2 * SAMPLE_DOCS / max(classes, 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, keys, first, h in sets(batch):
-                    _, unique = np.unique(keys, return_index=True)
-                    picked = unique[keys[unique].view(U) <= U(limit)]
-                    if len(picked):
-                        e = np.concatenate([h[first[i] : first[i + 1]] for i in picked])
-                        owner = np.repeat(keys[picked], np.diff(first)[picked])
-                        yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(e.view(np.int64))], ["key", "element"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, np.diff(first))), pa.array(h.view(np.int64))], ["key", "element"])
 
-        picked = self.texts.mapInArrow(run, "key long, element long").distinct()
+        some = self.texts if share == 1 else self.texts.where(F.xxhash64("id") < F.lit(int(-(1 << 63) + (1 << 64) * share)))
+        picked = some.mapInArrow(run, "key long, element long").distinct()
+        sampled = picked.agg(F.count_distinct("key")).first()[0]
         counted = picked.groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_LEAST).toPandas()
-        return Costs(counted["element"].to_numpy(np.int64).view(U), counted["n"].to_numpy(np.float64), min(classes, SAMPLE_DOCS))
+        return Costs(counted["element"].to_numpy(np.int64).view(U), counted["n"].to_numpy(np.float64), sampled)
 
     def candidates(self, classes: int) -> DataFrame:
         """(a, b): pairs of class keys that share a signature and pass the parity maps, and all links of hard records."""
@@ -312,27 +334,35 @@ class Join:
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, keys, first, h in sets(batch):
-                    _, unique = np.unique(keys, return_index=True)
-                    if len(unique) < len(keys):
-                        h = np.concatenate([h[first[i] : first[i + 1]] for i in unique])
-                        first = np.concatenate(([0], np.cumsum(np.diff(first)[unique])))
-                        keys = keys[unique]
-                    rows, hard = blobs(first, h, keys, costs.value, t, parts)
-                    for i in np.flatnonzero(hard):
-                        rows.append((-1, 0, keys[i : i + 1].tobytes(), b"", b"", h[first[i] : first[i + 1]].tobytes(), b""))
-                    for i in range(0, len(rows), 64):
-                        yield _pack(rows[i : i + 64])
+                chunks = list(sets(batch))
+                if not chunks:
+                    continue
+                keys = np.concatenate([c[1] for c in chunks])
+                size = np.concatenate([np.diff(c[2]) for c in chunks])
+                h = np.concatenate([c[3] for c in chunks])
+                _, unique = np.unique(keys, return_index=True)
+                if len(unique) < len(keys):
+                    kept = np.zeros(len(keys), bool)
+                    kept[unique] = True
+                    h, keys, size = h[np.repeat(kept, size)], keys[kept], size[kept]
+                first = np.concatenate(([0], np.cumsum(size)))
+                rows, hard = blobs(first, h, keys, costs.value, t, parts)
+                for i in np.flatnonzero(hard):
+                    rows.append((int(keys[i]) % parts, -1, keys[i : i + 1].tobytes(), b"", b"", h[first[i] : first[i + 1]].tobytes(), b""))
+                for i in range(0, len(rows), 64):
+                    yield _pack(rows[i : i + 64])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [tuple(r) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
-            a, b = _unique_pairs(candidate_pairs(rows, t))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        posted = self.texts.mapInArrow(emit, BLOB)
-        found = posted.where("part >= 0").repartition(parts, "part").mapInArrow(meet, "a long, b long")
-        out = cut(found.distinct())
-        hard = cut(posted.where("part < 0").select("keys", "signatures").distinct())
+            a, b = _unique_pairs(candidate_pairs([r for r in rows if r[1] >= 0], t))
+            hard = {r[2]: r[5] for r in rows if r[1] < 0}
+            own = np.array([np.frombuffer(k, np.int64)[0] for k in hard], np.int64)
+            elements = pa.array([None] * len(a) + list(hard.values()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, own))), pa.array(np.concatenate((b, own))), elements], ["a", "b", "elements"])
+
+        met = cut(self.texts.mapInArrow(emit, BLOB).repartition(parts, "part").mapInArrow(meet, "a long, b long, elements binary"))
+        out = met.where("elements IS NULL").select("a", "b")
+        hard = met.where("elements IS NOT NULL").select(F.col("a").alias("key"), "elements").dropDuplicates(["key"])
         for block in self._hard_blocks(hard):
             out = out.unionByName(self._against_all(block))
         return out.distinct()
@@ -340,7 +370,7 @@ class Join:
     def _hard_blocks(self, hard: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         block: list[tuple[int, np.ndarray]] = []
         for r in hard.toLocalIterator():
-            block.append((int(np.frombuffer(r["keys"], np.int64)[0]), np.frombuffer(r["signatures"], U)))
+            block.append((r["key"], np.frombuffer(r["elements"], U)))
             if len(block) == HARD_BLOCK:
                 yield block
                 block = []
