@@ -33,8 +33,8 @@ SAMPLE_DOCS = 10_000  # for shingle frequencies, which only steer costs
 SAMPLE_LEAST = 3
 NEED_BITS = 7.0  # a content is usable if at most one in 2^NEED_BITS records is expected to have it
 PER_SEGMENT = 2.0  # elements in a segment, for the largest sets of a band
-SETS_PER_PART = 20_000
-LEAST_PARTS = 12
+SETS_PER_PART = 30_000
+LEAST_PARTS = 8
 MAP_BITS = 1.3  # bits of a parity map per element of the largest sets of a band
 PAIRS_AT_ONCE = 250_000  # few enough for the caches
 MOST_BROADCAST_KEYS = 2_000_000
@@ -331,6 +331,7 @@ class Join:
         sets, t = self._sets, self.t
         parts = max(LEAST_PARTS, math.ceil(classes / SETS_PER_PART))
         costs = self.spark.sparkContext.broadcast(self.costs(classes))
+        slots = self._slots(parts)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -349,6 +350,7 @@ class Join:
                 rows, hard = blobs(first, h, keys, costs.value, t, parts)
                 for i in np.flatnonzero(hard):
                     rows.append((int(keys[i]) % parts, -1, keys[i : i + 1].tobytes(), b"", b"", h[first[i] : first[i + 1]].tobytes(), b""))
+                rows = [(slots[r[0]], *r[1:]) for r in rows]
                 for i in range(0, len(rows), 64):
                     yield _pack(rows[i : i + 64])
 
@@ -367,6 +369,13 @@ class Join:
             out = out.unionByName(self._against_all(block))
         return out.distinct()
 
+    def _slots(self, parts: int) -> list[int]:
+        """A number for each part that hash partitioning puts into a partition of its own; one row per part comes back."""
+        numbers = self.spark.range(64 * parts + 1000).select(F.col("id").cast("int").alias("n"))
+        found = numbers.groupBy(F.pmod(F.hash("n"), F.lit(parts)).alias("p")).agg(F.min("n").alias("n")).collect()
+        slots = {r["p"]: r["n"] for r in found}
+        return [slots.get(p, p) for p in range(parts)]
+
     def _hard_blocks(self, hard: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         block: list[tuple[int, np.ndarray]] = []
         for r in hard.toLocalIterator():
@@ -390,6 +399,12 @@ class Join:
             of = np.repeat(np.arange(len(stated)), size)
             order = np.argsort(e, kind="stable")
             e, of = e[order], of[order]
+            values, counts = np.unique(e, return_counts=True)
+            often = counts > max(8, 0.02 * len(stated))  # not counted pair by pair: a set's number of them bounds their share
+            common = values[often]
+            rare = ~np.repeat(often, counts)
+            own_common = np.bincount(of[~rare], minlength=len(stated))
+            e, of = e[rare], of[rare]
             for batch in batches:
                 out: list[tuple[np.ndarray, np.ndarray]] = []
                 for _, keys, first, h in sets(batch):
@@ -400,8 +415,10 @@ class Join:
                         left, right = np.searchsorted(e, x, "left"), np.searchsorted(e, x, "right")
                         n = right - left
                         place = np.repeat(left - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                        both = np.bincount(np.repeat(row, n) * len(stated) + of[place], minlength=(hi - lo) * len(stated)).reshape(hi - lo, len(stated))
-                        r, s = np.nonzero(both >= t / (1 + t) * (np.diff(first)[lo:hi, None] + size[None, :]) - 1e-9)
+                        both = np.bincount(np.repeat(row, n) * len(stated) + of[place], minlength=(hi - lo) * len(stated))
+                        mine = np.bincount(row, np.isin(x, common, kind="sort"), minlength=hi - lo) if len(common) else np.zeros(hi - lo)
+                        score = both.reshape(hi - lo, len(stated)) + np.minimum(mine[:, None], own_common[None, :])
+                        r, s = np.nonzero(score * ((1 + t) / t) >= np.diff(first)[lo:hi, None] + size[None, :] - 1e-6)
                         u, v = keys[lo + r], own[s]
                         ok = u != v
                         out.append((np.minimum(u, v)[ok], np.maximum(u, v)[ok]))
