@@ -195,6 +195,14 @@ def test_not_prose(spark):
     assert other == {r.id: r.score for r in scored.collect()}
 
 
+def test_frequent_texts_are_found_too(spark):
+    for kind, text in KINDS.items():
+        rows = [(i, None, PROSE * (2 + i % 9), "pdf") for i in range(40)] + [(100 + i, None, text, "pdf") for i in range(40)]
+        df = spark.createDataFrame(rows, "rec_id long, title string, text string, source_type string").withColumn("url", F.lit(None).cast("string"))
+        found = quality.not_prose(quality.scored(quality.profile(df, None)))
+        assert sorted(map(tuple, found.collect())) == [(100 + i, kind) for i in range(40)]
+
+
 def test_ranks_equal_brute_force(spark):
     from textloom.llm.ranks import running
 

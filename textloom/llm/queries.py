@@ -44,19 +44,18 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.row_report(*_near(spark, sf)).withColumnRenamed("id", "rec_id")
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _table(spark, sf, "combined_campus_data")
-    return quality.scored(cut(quality.profile(rows, _body_model(spark, sf))))
+def _profile(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.profile(_table(spark, sf, "combined_campus_data"), _body_model(spark, sf))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose main body is a list, a table or junk."""
-    return quality.not_prose(_scores(spark, sf)).withColumnRenamed("id", "rec_id")
+    return quality.not_prose(_profile(spark, sf)).withColumnRenamed("id", "rec_id")
 
 
 def p4_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics and outlier score of each row."""
-    return _scores(spark, sf).drop("guess", "share").withColumnRenamed("id", "rec_id")
+    return quality.scored(cut(_profile(spark, sf))).drop("guess", "share").withColumnRenamed("id", "rec_id")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
