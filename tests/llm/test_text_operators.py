@@ -181,6 +181,24 @@ def test_kinds():
     assert quality.row_kind(["Tour panel hall 58 " * 12], "")[0] == "junk"
 
 
+def test_repeated_function_words_are_junk():
+    for text in ("the office is open " * 40, "error in the log of the server " * 60, "\n".join(["the office is open to the public in the morning"] * 9)):
+        assert quality.row_kind(text.split("\n"), text) == ("junk", 1.0)
+
+
+LINES = {
+    "The list of the forms for the office of the dean . . . . . . 12": "list", "List of the forms for the office of the dean ______ 12": "list", "ii. the form of the office and the list of the dean": "list",
+    "An x y z a b c d e f g h the of and with": "junk", "In the hall of the dean and of the office #### @@@@ //// %%%% ==== ++++ ~~~~ ^^^^": "junk",
+    "The key of the office is with the dean Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4MTIz": "junk",
+    "Fee of hall,302,Hall,dues,north,senior,with desk": "table", "Fees for the hall 302 405 118 77 12 9 31": "table", "Dean hall  north wing for  the senior desk": "table",
+}
+
+
+@pytest.mark.parametrize("line,kind", LINES.items())
+def test_rules_apply_to_lines_with_function_words(line, kind):
+    assert quality.line_kind(line) == kind
+
+
 def test_not_prose(spark):
     rows = [(i, None, f"{PROSE * (2 + i % 4)}", "pdf") for i in range(60)] + [(100 + k, None, t, "pdf") for k, t in enumerate(KINDS.values())] + [(200, None, None, "pdf"), (201, None, "", "pdf"), (202, None, "Hall 3", "pdf")]
     df = spark.createDataFrame(rows, "rec_id long, title string, text string, source_type string").withColumn("url", F.lit(None).cast("string")).withColumn("score", F.lit(1))

@@ -47,15 +47,26 @@ BULLET = re.compile(r"^\s*(?:[-*•‣·▪–☐☑✓✔]|\d{1,3}[.)]|\(?[a-z]
 LONG_FUNCTION_WORDS = {w for w in OF_WORD if len(w) > 1}
 
 
-def line_kind(line: str) -> str:
-    """"prose", "list", "table" or "junk" of a non-blank line that is no heading and no furniture."""
+def plain(s: str, low: list[str]) -> bool:
+    """Whether a stripped line is prose that no rule of line_kind() gives another kind: a cheap bound on each of them."""
+    n = len(low)
+    if n < 8 or not (s[0].isalpha() and s[1].isalpha() and s.isascii()) or s[2:3] in (".", ")") or sum(map(LONG_FUNCTION_WORDS.__contains__, low)) < 0.2 * n:
+        return False
+    if any(map(s.__contains__, ("|", "\t", "<", "](", ";", "..", ". .", "__", "  "))) or s.count(",") - s.count(", ") >= 3:
+        return False
+    sizes = list(map(len, s.split()))
+    tokens, dense = len(sizes), sum(sizes)
+    return sizes.count(1) < 0.6 * tokens and max(sizes) < 20 and 2 * sum(map(s.count, "0123456789")) < tokens and dense - sum(map(len, low)) <= 0.45 * dense
+
+
+def line_kind(line: str, low: list[str] | None = None) -> str:
+    """"prose", "list", "table" or "junk" of a non-blank line that is no heading and no furniture. low: its words, if known."""
     s = line.strip()
-    low = WORD.findall(s.lower())
+    low = WORD.findall(s.lower()) if low is None else low
+    if plain(s, low):
+        return "prose"  # most lines
     n = len(low)
     function = sum(map(OF_WORD.__contains__, low))
-    if n >= 8 and s[0].isalpha() and s[1:2].isalpha() and s.isascii() and not ("|" in s or "\t" in s or "<" in s or "](" in s or ";" in s) and sum(map(LONG_FUNCTION_WORDS.__contains__, low)) >= 0.2 * n and ".." not in s:
-        return "prose"  # most lines: nothing below applies to them
-    words = low
     dense = len(s) - s.count(" ") or 1
     symbols = max(0, dense - s.count("\t") - sum(map(len, low)))
     if not s.isascii() and len(MOJIBAKE.findall(s)) >= 2:
@@ -118,10 +129,13 @@ def row_kind(body: list[str], text: str) -> tuple[str, float]:
     """Kind of a row's main body and the share of its characters that have it. Headings weigh nothing."""
     weight = dict.fromkeys(("prose", "list", "table", "junk"), 0.0)
     kept = [x for x in body if not mainbody.HEADING.match(x.strip())]
+    words: list[str] = []
     for line in kept:
-        weight[line_kind(line)] += len(line.strip())
+        low = WORD.findall(line.lower())
+        weight[line_kind(line, low)] += len(line.strip())
+        words += low
     total = sum(weight.values())
-    if weight["prose"] < total and repeated([w for x in kept for w in WORD.findall(x.lower())]):
+    if repeated(words):
         return "junk", 1.0
     if not total:
         return "prose", 1.0
