@@ -81,6 +81,18 @@ def test_residue_frame(spark):
     assert residue.residue(rows.limit(0)).count() == 0
 
 
+MESSAGES = ["The page no longer exists.", "This page is no longer available.", "Your session has timed out.", "The site is offline for upgrades.", "Die Seite ist nicht verfügbar.", "Page non trouvée.", "Cookies must be enabled.", "Página não disponível.", "Just a moment"]
+COPY = ["Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi aliquip ea commodo consequat.", "Viverra pulvinar ornare egestas porttitor vexa.", "Your copy goes here"]
+
+
+def test_prefilters_pass_what_the_rules_accept(spark):
+    texts = MESSAGES + COPY + [f"{PROSE}{x} {PROSE}" for x in [*SLOTS, "[\u00a0Insert name here]", "!!\tphone!!", "(\u2009enter page title)"]]
+    want = [(i, kind) for i, t in enumerate(texts) for kind in residue.kinds(None, t)]
+    assert {i for i, _ in want} == set(range(len(texts)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "rec_id long, text string").withColumn("title", F.lit(None).cast("string"))
+    assert sorted(map(tuple, residue.residue(rows).collect())) == want
+
+
 # pairs ------------------------------------------------------------------------------------------------------------------
 
 Q = "What fee do seniors pay for career coaching at the college?"

@@ -49,8 +49,8 @@ GRAMMARS = {
     "x_fill": r"(?<!\w)X{4,}(?!\w)|(?<!\w)(XX+) ?[a-z][a-z _]{2,30} ?\1(?!\w)",
 }
 SLOT = {k: re.compile(v) for k, v in GRAMMARS.items()}
-# A broad pattern for RE2 over whole batches; what it passes is read again by the grammars.
-PREFILTER = r"\{\{|\{%|\$\{|#\{|<%|%%|%[A-Z]|\*\||!![ A-Za-z]|@@|##[ A-Z]|~~|__[A-Z]|\[\[|<<|«|\[[ ]*(?:[A-Z _\-]{4,40}\]|[a-z]+_|(?i:insert|enter|your|add|type|choose|select|name of|todo|tbd|placeholder|fill in)\b)|\{[a-zA-Z]+[_A-Z]|(?:<|&lt;)[a-zA-Z]+_|(?i:\bhere\s*(?:>|&gt;))|(?:<|&lt;)\s*(?i:insert|enter|your|add)\s|\(\s*(?i:enter|insert|add your|fill in|type your|your)\s|\b(?:TODO|FIXME|TBD|TBA|XXX)\s*:|____|XX"
+# A broad pattern for RE2 over whole batches; what it passes is read again by the grammars. RE2 takes only ASCII for white space.
+PREFILTER = r"\{\{|\{%|\$\{|#\{|<%|%%|%[A-Z]|\*\||!![\s\pZ\pCA-Za-z]|@@|##[ A-Z]|~~|__[A-Z]|\[\[|<<|«|\[[\s\pZ\pC]*(?:[A-Z _\-]{4,40}\]|[a-z]+_|(?i:insert|enter|your|add|type|choose|select|name of|todo|tbd|placeholder|fill in)\b)|\{[a-zA-Z]+[_A-Z]|(?:<|&lt;)[a-zA-Z]+_|(?i:\bhere[\s\pZ\pC]*(?:>|&gt;))|(?:<|&lt;)[\s\pZ\pC]*(?i:insert|enter|your|add)[\s\pZ\pC]|\([\s\pZ\pC]*(?i:enter|insert|add your|fill in|type your|your)[\s\pZ\pC]|\b(?:TODO|FIXME|TBD|TBA|XXX)[\s\pZ\pC]*:|____|XX"
 # Words by which a text explains templates instead of holding one unfilled.
 TUTORIAL = re.compile(r"(?i)\b(?:placeholders?|template (?:language|syntax|tag|engine|file|variable)s?|templat(?:e|ing) tutorial|merge (?:fields?|tags?)|mail merge|variables?|syntax|notation|curly|braces|delimiters?|escaped?|snippet|tutorial|writes? (?:it|them) as|(?:is|are) written|for example, type|expands? to|substitut\w+|interpolat\w+|regular expressions?|source code|programming)\b")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre)\b.*?</\1>", re.S | re.I)
@@ -64,7 +64,9 @@ FILLER_STEMS = (
 _STEM = re.compile(r"(?:%s)[a-z]*\Z" % "|".join(sorted(FILLER_STEMS, key=len, reverse=True)))
 _WORD = re.compile(r"[^\W\d_]+")
 FILLER_PHRASE = re.compile(r"(?i)\b(?:this is (?:some )?(?:sample|dummy|placeholder|filler|example|test) (?:text|copy|content|paragraph)|(?:sample|dummy|placeholder|filler) (?:text|copy|content) (?:goes )?here|(?:your|the) (?:text|copy|content) goes here|replace this (?:text|paragraph|copy)|blah(?:[ ,]+blah){2,})\b")
-FILLER_PREFILTER = r"(?i)ipsum|lorem|dolor|adipis|consec|(?:sample|dummy|placeholder|filler|example|test) (?:text|copy|content|paragraph)|goes here|replace this|blah"
+# For RE2: the phrases, or two stems one after the other. Most words of dummy copy begin with stems, so that some two are neighbours.
+_STEMS = "|".join(sorted(FILLER_STEMS, key=len, reverse=True))
+FILLER_PREFILTER = FILLER_PHRASE.pattern.replace(r"\b", "") + rf"|(?:^|\PL)(?:{_STEMS})[a-z]*\PL+(?:{_STEMS})"
 
 # Messages of failure and of missing scripts, in several languages.
 ERROR = re.compile(
@@ -88,7 +90,6 @@ SCRIPT = re.compile(
     r"|\bnoscript\b|\bchecking (?:your|the) (?:browser|connection)|verify(?:ing)? (?:that )?you are (?:a )?human|\bjust a moment\b|\bplease wait while\b|\bddos protection\b|^\s*loading\b"
     r"|(?:schalten|aktivieren) sie[^.\n]{0,40}(?:java ?script|skripte?)|java ?script (?:ist |muss )?[^.\n]{0,30}(?:aktivier|ein(?:ge)?schalt)|active[rz]?[^.\n]{0,20}java ?script|(?:habilite|active|permita|ative|habilitar)[^.\n]{0,30}(?:java ?script|scripts?)|(?:activer|activez|autorisez)[^.\n]{0,30}(?:java ?script|scripts?)|java ?script [^.\n]{0,30}(?:d[eé]sactiv|requis|necess[aá]ri|deshabilit|desativ))"
 )
-MESSAGE_PREFILTER = r"(?i)not|error|denied|permission|forbid|unavail|gateway|timeout|maintenance|wrong|oops|expired|too many|connection|database|traceback|exception|encontr|existe|gefunden|introuv|acc[eè]s|404|403|50\d|gone|retired|nowhere|server|moved|removed|script|\bjs\b|checking|loading|active content|browser|moment|wait|human|nothing|broken|deleted|try again|come back|down|sign in|fatal|upstream|problem|erreur|erro\b|zugriff|acceso|acesso"
 MESSAGE_LENGTH = 400  # code points of content; a longer text has more than a message
 
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
@@ -163,26 +164,25 @@ def message_kind(text: str) -> str | None:
     return "script_notice" if script >= error and script else "error_page"
 
 
-def kinds(title: str | None, text: str | None) -> list[str]:
-    """Kinds of residue of one row, in a fixed order."""
+def kinds(title: str | None, text: str | None, slot: bool = True, copy: bool = True) -> list[str]:
+    """Kinds of residue of one row, in a fixed order. slot and copy: whether a slot or dummy copy is possible at all."""
     title, text = title or "", text or ""
-    slots = placeholders(text)
-    filler = bool(text) and is_filler(text)
+    slots = placeholders(text) if slot else []
+    filler = copy and bool(text) and is_filler(text)
     message = message_kind(text) if text and not slots and not filler else None
-    return [k for k, found in (("placeholder", slots or placeholders(title)), ("filler", filler), (message, message)) if found]
+    return [k for k, found in (("placeholder", slots or slot and placeholders(title)), ("filler", filler), (message, message)) if found]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         title, text = pc.fill_null(batch.column(1), ""), pc.fill_null(batch.column(2), "")
-        either = pc.or_(
-            pc.or_(pc.match_substring_regex(text, PREFILTER), pc.match_substring_regex(title, PREFILTER)),
-            pc.or_(pc.match_substring_regex(text, FILLER_PREFILTER), pc.and_(pc.less_equal(pc.utf8_length(text), 4 * MESSAGE_LENGTH), pc.match_substring_regex(text, MESSAGE_PREFILTER))),
-        )
-        some = pa.RecordBatch.from_arrays([batch.column(0), title, text], ["id", "title", "text"]).filter(either)
+        slot = pc.or_(pc.match_substring_regex(text, PREFILTER), pc.match_substring_regex(title, PREFILTER))
+        copy = pc.match_substring_regex(text, FILLER_PREFILTER)
+        either = pc.or_(pc.or_(slot, copy), pc.less_equal(pc.utf8_length(text), 4 * MESSAGE_LENGTH))  # every short text may be a message
+        some = pa.RecordBatch.from_arrays([batch.column(0), title, text, slot, copy], ["id", "title", "text", "slot", "copy"]).filter(either)
         ids, found = [], []
-        for i, a, b in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist()):
-            for kind in kinds(a, b):
+        for i, *row in zip(*(c.to_pylist() for c in some.columns)):
+            for kind in kinds(*row):
                 ids.append(i)
                 found.append(kind)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "kind"])
