@@ -48,6 +48,26 @@ def test_near_leaks_tolerate_an_edit(spark):
     assert [(r.id, r.item_id, r.run) for r in leakage.leaks(docs, items, least_words=16, edits=1).collect()] == [(1, 7, 23)]
 
 
+def test_near_leaks_equal_brute_force(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda most: "".join(rng.choices(letters, k=rng.randrange(1, most)))
+    items = [(k, [word(12 if k % 3 else 2) for _ in range(40)]) for k in range(30)]
+    docs = []
+    for i in range(180):
+        n = rng.randrange(13, 21)
+        w = items[i % 30][1][5 : 5 + n]
+        at = rng.choice((n // 2, rng.randrange(1, n - 1)))
+        w = (w[:at] + w[at + 1 :], w[:at] + [word(20)] + w[at:], w[:at] + [word(20)] + w[at + 1 :])[i // 30 % 3]
+        docs.append((i, [word(9) for _ in range(15)] + w + [word(9) for _ in range(15)]))
+    name = {w: k for k, w in enumerate(sorted({w for _, t in items + docs for w in t}))}
+    coded = lambda rows: [(i, np.array([name[w] for w in t])) for i, t in rows]
+    want = sorted((d, i, n) for d, t in coded(docs) for i, u in coded(items) if (n := leakage.longest_run(t, u, 1)) >= 16)
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{key} long, text string")
+    found = leakage.leaks(frame(docs, "doc_id"), frame(items, "item_id"), least_words=16, edits=1)
+    assert sorted((r.id, r.item_id, r.run) for r in found.collect()) == want and len(want) > 60
+
+
 def test_mixture_meets_its_targets(spark):
     rng = random.Random(3)
     data = [(i, " ".join(["token"] * rng.randrange(20, 200)), s) for i, s in enumerate(rng.choices(["big", "Mid Dle", "mid-dle", "tiny", "other"], weights=[60, 14, 14, 4, 8], k=900))]

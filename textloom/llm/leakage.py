@@ -1,9 +1,9 @@
 """Problem 8: evaluation passages that leaked into documents.
 
 Q-gram lemma filtering: the stated set of items is indexed by character q-grams in blocks of bounded size; every document is
-scanned once per block, and shared q-grams are counted in overlapping diagonal bands. A stretch of `least_words` words with at
-most e edits shares length - q + 1 - q * e of its q-grams in one band; bands that reach this are verified by an alignment of
-words inside the band, and a pair is reported when a run of words is long enough.
+scanned once per block, and shared q-grams are counted in overlapping diagonal bands. Of `least_words` matching words with at most e
+edits between them, least_words / (e + 1) follow each other unbroken on both sides, so that all q-grams of this piece lie on one
+diagonal; pairs with a band that reaches this are verified by an alignment of words, and reported when a run of words is long enough.
 
 Defined cases: null and short texts of either side match nothing; repeated items and documents are reported each; texts are
 compared as their words joined by single spaces, so case and marks do not matter.
@@ -54,8 +54,10 @@ def qgrams(data: np.ndarray, offsets: np.ndarray, q: int) -> tuple[np.ndarray, n
 class Index:
     """Items of one block: q-grams sorted by hash, a table of bits to skip most lookups, and words for the verification."""
 
-    def __init__(self, ids: list[int], texts: list[str], q: int, least_words: int):
-        self.ids, self.q, self.least_words = np.array(ids, np.int64), q, least_words
+    def __init__(self, ids: list[int], texts: list[str], q: int, least_words: int, edits: int = 0):
+        piece = -(-least_words // (edits + 1))  # words of the longest unbroken piece, at least
+        q = min(q, 2 * piece - 1)  # bytes of a piece of words of one letter
+        self.ids, self.q = np.array(ids, np.int64), q
         words = tokens.Words(pa.array(texts, pa.string()))
         data, offsets = joined(words)
         at, h = qgrams(data, offsets, q)
@@ -67,9 +69,9 @@ class Index:
         self.table[(self.hash >> U(64 - TABLE_BITS)).astype(np.int64)] = True
         self.words = [words.hash[a:b] for a, b in zip(words.first, words.first[1:])]
         size = words.end - words.start + 1
-        self.least_bytes = [int(np.convolve(size[a:b], np.ones(least_words, int), "valid").min()) - 1 if b - a >= least_words else 1 << 60 for a, b in zip(words.first, words.first[1:])]
+        self.least_bytes = [int(np.convolve(size[a:b], np.ones(piece, int), "valid").min()) - 1 if b - a >= least_words else 1 << 60 for a, b in zip(words.first, words.first[1:])]
 
-    def bands(self, data: np.ndarray, offsets: np.ndarray, edits: int) -> list[tuple[int, int, int]]:
+    def bands(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item, diagonal) of each band with enough shared q-grams."""
         at, h = qgrams(data, offsets, self.q)
         at = at[self.table[(h[at] >> U(64 - TABLE_BITS)).astype(np.int64)]] if len(at) else at
@@ -87,8 +89,8 @@ class Index:
         row = np.searchsorted(offsets, pos, side="right") - 1
         item = self.item[place]
         diagonal = pos - offsets[row] - self.at[place]
-        width = 2 * max(1, edits * 4)  # bands overlap by half, so that any edits-wide drift lies within one
-        need = np.array([b - self.q + 1 - self.q * edits for b in self.least_bytes])
+        width = 2  # bands overlap by half
+        need = np.array([b - self.q + 1 for b in self.least_bytes])
         found = set()
         for shift in (0, width // 2):
             band = (diagonal + shift) // width
@@ -152,12 +154,12 @@ def leaks(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, edi
         shared = spark.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value, q, least_words)
+            index = Index(*shared.value, q, least_words, edits)
             for batch in batches:
                 for part in tokens.chunks(batch, "text"):
                     words = tokens.Words(part.column("text"))
                     data, offsets = joined(words)
-                    pairs = sorted({(r, i) for r, i, _ in index.bands(data, offsets, edits)})
+                    pairs = sorted({(r, i) for r, i, _ in index.bands(data, offsets)})
                     doc, item, size = [], [], []
                     names = part.column("id").to_pylist() if pairs else []
                     for r, i in pairs:
