@@ -43,6 +43,13 @@ def test_blocks_and_cleaning(spark):
     assert clean.clean_text == f"start of the page qqqqq\n{'own words ' * 3}zzz"
 
 
+def test_blocks_pass_over_lines_that_do_not_count(spark):
+    data = [(i, "https://a.example/", f"share this page with your friends\n\nshort\n# Heading of this part\nsign up for the newsletter today\n{'own words ' * 3}{'z' * (i + 1)}\nall rights are reserved here") for i in range(9)]
+    found = lines.repeated_lines(spark.createDataFrame(data, "rec_id long, url string, text string"), with_line=True)
+    b = {r.line: r.block for r in lines.blocks(found).collect()}
+    assert len(b) == 3 and b["share this page with your friends"] == b["sign up for the newsletter today"] != b["all rights are reserved here"]
+
+
 @pytest.mark.parametrize("url,host", [("HTTP://www.A.example:8080/x", "a.example"), ("a.example/x", "a.example"), ("//www.b.example?q", "b.example"), ("", None), (None, None)])
 def test_host(spark, url, host):
     assert spark.createDataFrame([(url,)], "u string").select(lines.host(F.col("u"))).first()[0] == host

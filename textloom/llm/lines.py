@@ -34,18 +34,21 @@ def normal(line: Column) -> Column:
 def occurrences(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", with_line: bool = False) -> DataFrame:
     """(id, site, line_no, node, check) of each line that counts. node and check are two hashes of site and line.
 
+    with_line adds site, line and `nth`, the number of the line among those of its row that count.
+
     Lines are normalised inside the array, before it is exploded, so that the optimiser can't repeat the expressions below.
     """
     short = lambda x: (F.length(x) < LEAST_LETTERS) | x.rlike(r"^\s*#")
+    long = lambda x: x.isNotNull() & (F.length(x) >= LEAST_LETTERS) & ~F.startswith(x, F.lit("#"))
+    lettered = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]+", "")) >= LEAST_LETTERS
     lines = F.transform(F.split("text", "\n"), lambda x: F.when(~short(x), normal(x)))
-    counted = (
-        rows.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("site"), F.col(text_col).alias("text"))
-        .where("site IS NOT NULL AND text IS NOT NULL AND text <> ''")
-        .select("id", "site", F.posexplode(lines).alias("line_no", "line"))
-        .where(F.col("line").isNotNull() & (F.length("line") >= LEAST_LETTERS) & ~F.startswith("line", F.lit("#")))
-        .where(F.length(F.regexp_replace("line", r"[^\p{L}]+", "")) >= LEAST_LETTERS)
-    )
-    keys = counted.select("id", "line_no", F.xxhash64("site", "line").alias("node"), F.hash("line", "site").alias("check"), *(["site", "line"] if with_line else []))
+    texts = rows.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where("site IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    if with_line:
+        numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda s: long(s["line"]) & lettered(s["line"]))
+        counted = texts.select("id", "site", F.posexplode(numbered).alias("nth", "s")).select("id", "site", "nth", "s.line_no", "s.line")
+    else:
+        counted = texts.select("id", "site", F.posexplode(lines).alias("line_no", "line")).where(long(F.col("line"))).where(lettered(F.col("line")))
+    keys = counted.select("id", "line_no", F.xxhash64("site", "line").alias("node"), F.hash("line", "site").alias("check"), *(["site", "line", "nth"] if with_line else []))
     return keys
 
 
@@ -66,7 +69,7 @@ def kept_occurrences(found: DataFrame, kept: DataFrame, rows: int) -> DataFrame:
 
 
 def repeated_lines(rows: DataFrame, least: int = LEAST_ROWS, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", with_line: bool = False) -> DataFrame:
-    """(id, line_no, node, check, support) of each occurrence of a kept node, with site and line if asked for.
+    """(id, line_no, node, check, support) of each occurrence of a kept node, with site, line and nth if asked for.
 
     The union of all boilerplate blocks is the set of all kept nodes, so deleting needs no block labels; blocks() has them.
     Texts are read once; the keys of their lines are written to the shared folder.
@@ -82,8 +85,8 @@ def blocks(repeated: DataFrame, least: int = LEAST_ROWS, rounds: int = 40) -> Da
     Edges are kept nodes on consecutive counted lines of a row, with `least` rows. Labels spread to neighbours, then jump to
     the label of their label, until nothing changes; each round cuts its lineage in the shared folder.
     """
-    counted = repeated.select("id", "line_no", "node", "check", "line", "support")
-    follow = counted.alias("a").join(counted.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.line_no") + 1 == F.col("b.line_no")))
+    counted = repeated.select("id", "nth", "node", "check", "line", "support")
+    follow = counted.alias("a").join(counted.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.nth") + 1 == F.col("b.nth")))
     edges = (
         follow.select(F.col("a.id").alias("id"), F.col("a.node").alias("u"), F.col("b.node").alias("v"))
         .where("u <> v")
