@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import faq, quality, retrieval, serving, training
+from textloom.plans.queries import QUERIES, table
 from textloom.rules import QUICK_LINK_KEYWORDS
 
 GOLDEN = [
@@ -123,3 +124,23 @@ def test_embedder_is_unit_length(seed):
     v = retrieval.HashingEmbedder(32).embed(["a b c", "", None])
     assert abs(np.linalg.norm(v[0]) - 1) < 1e-9 and v[1] == v[2] == [0.0] * 32
     random.seed(seed)
+
+
+def test_questions_are_answered_from_the_whole_corpus(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest has quick links for all
+    index = QUERIES["index_chunk_rows"](spark, sf).collect()
+    asked = {r.chat_id: r.question for r in table(spark, sf, "chat_log").collect()}
+    embed = lambda texts: np.array(retrieval.HashingEmbedder().embed(texts), np.float32).astype(float)
+    x = embed([r.document for r in index])
+    found = QUERIES["answered_questions"](spark, sf).where("kind = 'search'").collect()
+    for r in found:
+        d = np.sqrt(((x - embed([asked[r.query_id]])[0]) ** 2).sum(axis=1))
+        assert r.answer.startswith("Source: ") and sorted(d)[0] == min(d[[f"Content: {c.document}\n\n" in r.answer for c in index]])
+    assert found
+
+
+def test_chunks_stored_twice_are_two_hits(spark):
+    rows = [(f"c{i // 2}", f"chunk about topic {i // 2}", "u", "a", "t", "", "web", 0) for i in range(8)]
+    index = retrieval.with_embeddings(spark.createDataFrame(rows, "chunk_id string, document string, url string, anchor_url string, title string, section_header string, source_type string, pdf_page int"), "document")
+    out = retrieval.answered(spark.createDataFrame([(1, "chunk about topic 2")], "query_id long, question string"), index, k=2).first()
+    assert out.answer.count("Content: chunk about topic 2\n") == out.answer.count("Content: ") == 2

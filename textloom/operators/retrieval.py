@@ -203,8 +203,9 @@ def answered(questions: DataFrame, index: DataFrame, quick: DataFrame | None = N
     """
     asked = cut(with_embeddings(questions.select("query_id", "question"), "question", embedder))
     rest = asked.join(quick.select("query_id"), "query_id", "left_anti") if quick is not None else asked
-    numbered = index.withColumn("_n", F.xxhash64("chunk_id"))
-    hits = search(rest, numbered, k, id_col="_n").join(numbered.withColumnRenamed("_n", "id").drop("embedding"), "id")
+    numbered = index.withColumn("_n", F.xxhash64("chunk_id", "title", "anchor_url", "url", "source_type"))
+    near = cut(search(rest, numbered, k, id_col="_n"))  # chunks that are stored again are hits of their own
+    hits = near.join(numbered.withColumnRenamed("_n", "id").drop("embedding").join(near, "id", "left_semi").dropDuplicates(["id"]), "id")
     shown = hits.withColumn("shown", hit_text(F.col("title"), F.col("section_header"), F.col("source_type"), F.col("pdf_page"), F.coalesce("anchor_url", "url"), F.col("document")))
     found = joined_hits(shown, "query_id", "rank", "shown")
     searched = rest.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(NO_HITS)).alias("answer"), F.lit("search").alias("kind"))

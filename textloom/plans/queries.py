@@ -422,7 +422,7 @@ def answered_questions(spark, sf):
     links = table(spark, sf, "faq_links")
     quick = faq.match(asked, links).join(F.broadcast(links.select("category", "url", "title", "description").limit(1000)), "category")
     quick = quick.select("query_id", faq.answer(F.col("description"), F.col("title"), F.col("url"), F.col("confidence")).alias("answer"))
-    index = retrieval.with_embeddings(records.index_chunks(table(spark, sf, "campus_pdfs")), "document")
+    index = retrieval.with_embeddings(records.index_chunks(table(spark, sf, "combined_campus_data")), "document")
     return retrieval.answered(asked, index, quick)
 
 
