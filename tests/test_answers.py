@@ -144,3 +144,13 @@ def test_chunks_stored_twice_are_two_hits(spark):
     index = retrieval.with_embeddings(spark.createDataFrame(rows, "chunk_id string, document string, url string, anchor_url string, title string, section_header string, source_type string, pdf_page int"), "document")
     out = retrieval.answered(spark.createDataFrame([(1, "chunk about topic 2")], "query_id long, question string"), index, k=2).first()
     assert out.answer.count("Content: chunk about topic 2\n") == out.answer.count("Content: ") == 2
+
+
+def test_hits_hold_whole_documents(spark, sf):
+    docs = {r.doc_id: r for r in table(spark, sf, "documents").collect()}
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in table(spark, sf, "embeddings").collect()}
+    found = {r.query_id: r.answer for r in QUERIES["hit_format"](spark, sf).collect()}
+    for q, answer in found.items():
+        near = sorted(vectors, key=lambda i: (np.sqrt(((vectors[i] - vectors[q]) ** 2).sum()), i))[:5]
+        assert answer == "".join(f"Source: {d.title or 'No Title'}{' - ' + d.source if d.source else ''}\nLink: {d.url or 'Unknown URL'}\nContent: {d.text or ''}\n\n" for i in near if (d := docs.get(i)))
+    assert found and max(map(len, found.values())) > 2000

@@ -316,7 +316,7 @@ def hit_format(spark, sf):
     e = table(spark, sf, "embeddings")
     near = retrieval.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "title", "source", "url", "text")
-    t = retrieval.hit_text(F.col("title"), F.col("source"), F.lit("web"), F.lit(0), F.col("url"), F.left("text", F.lit(100)))
+    t = retrieval.hit_text(F.col("title"), F.col("source"), F.lit("web"), F.lit(0), F.col("url"), F.col("text"))
     return retrieval.joined_hits(near.join(d, "id").withColumn("t", t), "query_id", "rank", "t")
 
 
