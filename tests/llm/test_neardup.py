@@ -38,37 +38,56 @@ def expected(rows, t, k, least):
     return sorted((a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12)
 
 
-@pytest.mark.parametrize("t,k,least,need", [(0.6, 3, 10, 7.0), (0.8, 5, 5, 2.0), (0.6, 1, 1, 1.0)])
-def test_join_equals_brute_force(spark, t, k, least, need):
+@pytest.mark.parametrize("t,k,least,hot", [(0.6, 3, 10, 50_000), (0.8, 5, 5, 20), (0.6, 1, 1, 10), (0.9, 2, 2, 50_000)])
+def test_join_equals_brute_force(spark, monkeypatch, t, k, least, hot):
     rows = corpus()
     df = spark.createDataFrame([*rows, (500, None), (501, ""), (502, "two words")], "rec_id long, text string").withColumn("key", F.lit("clash")).repartition(3)
-    kept, neardup.NEED_BITS = neardup.NEED_BITS, need
-    try:
-        members, links = neardup.near_duplicates(df, t=t, k=k, least_words=least)
-    finally:
-        neardup.NEED_BITS = kept
+    monkeypatch.setattr(neardup, "HOT_BUCKET", hot)
+    members, links = neardup.near_duplicates(df, t=t, k=k, least_words=least)
     got = sorted(map(tuple, neardup.pairs_of_rows(members, links).collect()))
     assert got == expected([*rows, (502, "two words")], t, k, least)
     report = neardup.row_report(members, links).collect()
     assert len(report) == members.count() and all(r.class_id <= r.id for r in report)
 
 
-@pytest.mark.parametrize("hard", [False, True])
-def test_every_link_is_a_candidate(hard):
-    """Signatures alone must find all links of sets that are not hard; the parity maps must keep them."""
-    rows = corpus(90, 11)
-    rows_, first, h = neardup.sets_of(pa.array([x for _, x in rows]), 3, 10)
-    keys = neardup.set_keys(first, h)
-    costs = neardup.Costs(np.zeros(0, np.uint64), np.zeros(0), 0, need=70.0 if hard else 1.0)
-    blobs, is_hard = neardup.blobs(first, h, keys, costs, 0.6, 4)
-    found = set()
-    for p in range(4):
-        a, b = neardup._unique_pairs(neardup.candidate_pairs([r for r in blobs if r[0] == p], 0.6))
-        found |= set(zip(a.tolist(), b.tolist()))
-    sets = [set(h[first[i] : first[i + 1]].tolist()) for i in range(len(keys))]
-    for i, j in combinations(range(len(keys)), 2):
-        if keys[i] != keys[j] and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) and not is_hard[i if len(sets[i]) >= len(sets[j]) else j]:
-            assert (min(keys[i], keys[j]), max(keys[i], keys[j])) in found
+def candidates(texts, t, k, least, costs, parts=4):
+    _, first, h = neardup.sets_of(pa.array(texts), k, least)
+    keys, first, h = neardup._different([(None, neardup.set_keys(first, h), first, h)])
+    blobs = neardup.blobs(first, h, keys, costs, t, parts)
+    found = []
+    for p in range(parts):
+        for a, b in neardup.candidate_pairs([r for r in blobs if r[0] == p], t):
+            found += zip(a.tolist(), b.tolist())
+    sets = {key: set(h[first[i] : first[i + 1]].tolist()) for i, key in enumerate(keys.tolist())}
+    linked = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
+    return set(found), linked
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("t,k", [(0.6, 3), (0.6, 1), (0.8, 2), (0.5, 4)])
+def test_every_link_is_a_candidate(monkeypatch, seed, t, k):
+    """Signatures alone must find all links, with levels, maps and split buckets, whatever the sample says of frequencies."""
+    rows = corpus(150, seed)
+    rng = np.random.default_rng(seed)
+    _, _, h = neardup.sets_of(pa.array([x for _, x in rows]), k, k)
+    known = np.unique(h)
+    known = known[rng.random(len(known)) < 0.6]
+    if seed % 2:
+        monkeypatch.setattr(neardup, "HOT_BUCKET", 100)
+    if seed % 3 == 0:
+        monkeypatch.setattr(neardup, "LEAST_SEGMENTS", 3)  # many sets with too few events
+    costs = neardup.Costs(known, rng.integers(1, 100, len(known)).astype(float), 100, 150 if seed % 2 == 0 else 10_000)
+    found, linked = candidates([x for _, x in rows], t, k, k, costs)
+    assert linked <= found and linked
+
+
+def test_work_grows_with_the_records_of_a_content_only(spark):
+    """Records of common shingles only are compared among themselves: candidates of unrelated texts stay few."""
+    rng = random.Random(3)
+    common = ["hot" + str(i) for i in range(30)]
+    texts = [" ".join(rng.sample(common, 25)) for _ in range(100)] + [" ".join(f"r{rng.randrange(10**9)}" for _ in range(60)) for _ in range(1500)]
+    found, linked = candidates(texts, 0.6, 3, 5, neardup.Costs(np.zeros(0, np.uint64), np.zeros(0), 0))
+    assert linked <= found and len(found) <= 100 * 99 // 2
 
 
 def test_copies_stay_one_class(spark):
