@@ -43,6 +43,7 @@ def test_join_equals_brute_force(spark, monkeypatch, t, k, least, hot):
     rows = corpus()
     df = spark.createDataFrame([*rows, (500, None), (501, ""), (502, "two words")], "rec_id long, text string").withColumn("key", F.lit("clash")).repartition(3)
     monkeypatch.setattr(neardup, "HOT_BUCKET", hot)
+    monkeypatch.setattr(neardup, "PAIRS_PER_CELL", 40)
     members, links = neardup.near_duplicates(df, t=t, k=k, least_words=least)
     got = sorted(map(tuple, neardup.pairs_of_rows(members, links).collect()))
     assert got == expected([*rows, (502, "two words")], t, k, least)
@@ -74,6 +75,7 @@ def test_every_link_is_a_candidate(monkeypatch, seed, t, k):
     known = known[rng.random(len(known)) < 0.6]
     if seed % 2:
         monkeypatch.setattr(neardup, "HOT_BUCKET", 100)
+        monkeypatch.setattr(neardup, "POSTINGS_AT_ONCE", 60)
     if seed % 3 == 0:
         monkeypatch.setattr(neardup, "LEAST_SEGMENTS", 3)  # many sets with too few events
     costs = neardup.Costs(known, rng.integers(1, 100, len(known)).astype(float), 100, 150 if seed % 2 == 0 else 10_000)

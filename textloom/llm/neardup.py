@@ -40,10 +40,11 @@ SAMPLE_DOCS = 10_000  # for shingle frequencies, which only steer costs
 SAMPLE_LEAST = 3
 BAND_STEPS = 2  # a band's sizes span (1 / t)^BAND_STEPS
 LEAST_SEGMENTS = 64
-SETS_PER_PART = 60_000
-LEAST_PARTS = 8
-MAP_BITS = 1.0  # bits of a parity map per element of the largest sets of a band
+SETS_PER_PART = 100_000
+LEAST_PARTS = 6
+MAP_BITS = 1.3  # bits of a parity map per element of the largest sets of a band
 PAIRS_AT_ONCE = 250_000  # few enough for the caches
+POSTINGS_AT_ONCE = 1_000_000  # of a part that are searched for pairs together
 PAIRS_KEPT = 4_000_000  # found pairs that a task holds before it passes them on
 HOT_BUCKET = 50_000  # expected records of a content beyond which its bucket is split
 PAIRS_PER_CELL = 50_000  # candidates that are verified together
@@ -314,6 +315,28 @@ def _pairs_of_scheme(group: list[tuple], t: float) -> Iterator[tuple[np.ndarray,
     if not len(s):
         return
     s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+    begins = np.flatnonzero(np.concatenate(([True], (s[1:] >> U(32)) != (s[:-1] >> U(32)))))
+    cuts = begins[np.searchsorted(begins, np.arange(0, len(s), POSTINGS_AT_ONCE))[1:] - 1] if len(s) > POSTINGS_AT_ONCE else np.zeros(0, np.int64)
+    columns = np.ascontiguousarray(maps.T)
+    found: list[np.ndarray] = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)]):  # at the borders of buckets
+        for pairs in _meet(s[a:b], size, lower, columns, t) if b > a else ():
+            found.append(pairs)
+            if sum(map(len, found)) > PAIRS_KEPT:
+                found = [np.unique(np.concatenate(found))]
+                if len(found[0]) > PAIRS_KEPT // 2:
+                    yield _keys_of(found.pop(), keys)
+    if found:
+        yield _keys_of(np.unique(np.concatenate(found)), keys)
+
+
+def _keys_of(pairs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, v = keys[pairs >> 32], keys[pairs & 0xFFFFFFFF]
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _meet(s: np.ndarray, size: np.ndarray, lower: np.ndarray, columns: np.ndarray, t: float) -> Iterator[np.ndarray]:
+    """Pairs of whole buckets of sorted postings (signature, set, level, variant), as set << 32 | set."""
     bucket = np.cumsum(np.concatenate(([False], (s[1:] >> U(32)) != (s[:-1] >> U(32)))))
     owner = ((s >> U(4)) & U(0xFFFFFFF)).astype(np.int64)
     level = ((s >> U(1)) & U(7)).astype(np.int64)
@@ -327,12 +350,9 @@ def _pairs_of_scheme(group: list[tuple], t: float) -> Iterator[tuple[np.ndarray,
     left = np.flatnonzero(n)
     low, n = low[left], n[left]
     ahead = np.concatenate(([0], np.cumsum(n)))
-    columns = np.ascontiguousarray(maps.T)
     most = (1 - t) / (1 + t)
     variant = (s & U(1)).astype(bool)
     least = np.ceil(ratio[level] * own_size - 1e-6).astype(np.int64)
-    found: list[np.ndarray] = []
-    held = 0
     a = 0
     while a < len(left):
         b = max(a + 1, int(np.searchsorted(ahead, ahead[a] + PAIRS_AT_ONCE, "right")) - 1)
@@ -344,19 +364,25 @@ def _pairs_of_scheme(group: list[tuple], t: float) -> Iterator[tuple[np.ndarray,
         x, y = x[ok], y[ok]
         room = (most * (size[x] + size[y]) + 1e-9).astype(np.int64)
         far = np.zeros(len(x), np.int64)
-        for i in range(0, width, 3):
+        for i in range(0, len(columns), 3):
             for column in columns[i : i + 3]:
                 far += np.bitwise_count(column[x] ^ column[y])
             ok = far <= room
             x, y, room, far = x[ok], y[ok], room[ok], far[ok]
-        found.append((np.minimum(x, y) << 32) | np.maximum(x, y))
-        held += len(x)
         a = b
-        if held > PAIRS_KEPT or a == len(left):
-            pairs = np.unique(np.concatenate(found))
-            u, v = keys[pairs >> 32], keys[pairs & 0xFFFFFFFF]
-            yield np.minimum(u, v), np.maximum(u, v)
-            found, held = [], 0
+        if len(x):
+            yield np.unique((np.minimum(x, y) << 32) | np.maximum(x, y))
+
+
+def pack_set(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each element."""
+    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(U).reshape(-1)
 
 
 def _pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -473,24 +499,29 @@ class Join:
         """(a, b, similarity): candidates whose similarity is t or more, exactly.
 
         Both keys of a pair are hashed into groups, a pair of groups is a cell, and a set goes once to each cell that needs it: a set
-        with many partners is spread over many cells, and moves less often than it has partners.
+        with many partners is spread over many cells, and moves less often than it has partners. Sets are moved with 48 bits an
+        element, so that one pair in 10^10 of unequal elements counts as equal.
         """
         sets, t = self._sets, self.t
         side = max(1, math.ceil(math.sqrt(pairs.count() / PAIRS_PER_CELL)))
         group = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-        placed = pairs.select((group("a") * side + group("b")).alias("cell"), "a", "b")
-        needs = placed.select("cell", F.col("a").alias("key")).unionByName(placed.select("cell", F.col("b").alias("key"))).distinct()
-        wanted = cut(members.join(needs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id"))
+        cell = F.least(group("a"), group("b")) * side + F.greatest(group("a"), group("b"))
+        placed = pairs.select(cell.alias("cell"), "a", "b")
+        needs = placed.select("cell", F.col("a").alias("key")).unionByName(placed.select("cell", F.col("b").alias("key")))
+        cells = needs.distinct().groupBy("key").agg(F.collect_list("cell").alias("cells"))  # at most `side` of each key
+        wanted = cut(members.join(cells, "key").groupBy("key").agg(F.min("id").alias("id"), F.first("cells").alias("cells")).select("id", "cells"))
         few = wanted.count() <= MOST_BROADCAST_IDS
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, keys, first, h in sets(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["key", "elements"])
+                of = dict(zip(batch.column("id").to_pylist(), batch.column("cells").to_pylist()))
+                for ids, keys, first, h in sets(batch):
+                    rows = [(cell, key, raw) for i, key, a, b in zip(ids.tolist(), keys.tolist(), first, first[1:]) for raw in (pack_set(h[a:b]),) for cell in of[i]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["cell", "a", "elements"])
 
-        picked = self.texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(pick, "key long, elements binary")
+        moved = self.texts.join(F.broadcast(wanted) if few else wanted, "id").mapInArrow(pick, "cell long, a long, elements binary")
         nothing = F.lit(None)
-        moved = needs.join(picked, "key").select("cell", F.col("key").alias("a"), nothing.cast("long").alias("b"), "elements")
+        moved = moved.select("cell", "a", nothing.cast("long").alias("b"), "elements")
         both = moved.unionByName(placed.withColumn("elements", nothing.cast("binary")))
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,7 +532,7 @@ class Join:
                     if cell != here:
                         here, held = cell, {}
                     if raw is not None:
-                        held[u] = np.frombuffer(raw, U)
+                        held[u] = unpack_set(raw)
                         continue
                     joined = np.concatenate((held[u], held[v]))
                     joined.sort()
