@@ -6,7 +6,7 @@ everything and case, lines and classes follow Unicode; for PDF text the dot stop
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ SPACE = r"[\s\x1c-\x1f]"
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x evaluated once, however often the body names it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def strip(x: Column) -> Column:
     """x without white space at both ends; tabs, line ends and the separators U+001C to U+001F count."""
     return F.regexp_replace(x, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")

@@ -10,27 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.rules import QUICK_LINK_THRESHOLD
+from textloom.session import bounded
+
+MOST_KEYWORDS = 10_000  # of the dimension of quick links; more are an error
 
 
 def keyword_table(quick_links: DataFrame) -> list[tuple]:
     """(faq_ix, category, kw_ix, keyword) of a dimension of a few rows, in order."""
-    rows = quick_links.select("faq_ix", "category", F.posexplode("keywords").alias("kw_ix", "keyword")).where("keyword IS NOT NULL AND keyword <> ''").orderBy("faq_ix", "kw_ix").limit(10_000).collect()
-    return [tuple(r) for r in rows]
+    rows = quick_links.select("faq_ix", "category", F.posexplode("keywords").alias("kw_ix", "keyword")).where("keyword IS NOT NULL AND keyword <> ''").orderBy("faq_ix", "kw_ix")
+    return [tuple(r) for r in bounded(rows, MOST_KEYWORDS, "keywords of quick links")]
 
 
 def match(questions: DataFrame, quick_links: DataFrame, question_col: str = "question", threshold: float = QUICK_LINK_THRESHOLD) -> DataFrame:
     """questions that match a quick link, with category, keyword and confidence.
 
     A keyword that the lower-cased question holds scores its share of the question's length, and 0.3 more as a whole word, at the
-    start or at the end; the best score wins, of equal ones the first, and it is capped at 1. The score must reach the threshold.
-    Keywords are literals of one narrow expression: no join.
+    start or at the end. Keywords are tried in order; one replaces the best so far if its score is higher than that one's, which is
+    capped at 1. So the last score above 1 wins where there is one, else the first of the highest. The score must reach the
+    threshold. Null questions match nothing. Keywords are literals of one narrow expression: no join.
     """
     low = F.lower(F.col(question_col))
     best = None
-    for faq_ix, category, kw_ix, keyword in keyword_table(quick_links):
+    for place, (_, category, _, keyword) in enumerate(keyword_table(quick_links)):
         whole = F.contains(F.concat(F.lit(" "), low, F.lit(" ")), F.lit(f" {keyword} ")) | F.startswith(low, F.lit(keyword)) | F.endswith(low, F.lit(keyword))
         score = F.lit(float(len(keyword))) / F.greatest(F.length(low), F.lit(len(keyword))) + F.when(whole, 0.3).otherwise(0.0)
-        one = F.when(F.contains(low, F.lit(keyword)), F.struct(F.least(score, F.lit(1.0)).alias("score"), F.lit(-faq_ix).alias("f"), F.lit(-kw_ix).alias("k"), F.lit(category).alias("category"), F.lit(keyword).alias("keyword")))
+        order = F.when(score > 1.0, F.lit(place)).otherwise(F.lit(-place))
+        one = F.when(F.contains(low, F.lit(keyword)), F.struct((score > 1.0).alias("over"), F.least(score, F.lit(1.0)).alias("score"), order.alias("order"), F.lit(category).alias("category"), F.lit(keyword).alias("keyword")))
         best = [one] if best is None else [*best, one]
     if not best:
         return questions.limit(0).select("*", F.lit("").alias("category"), F.lit("").alias("keyword"), F.lit(0.0).alias("confidence"))

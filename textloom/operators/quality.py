@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.strings import contains_any
 from textloom.rules import ERROR_SIGNS, LEAST_PAGE, LEAST_PDF_PAGE, TRAINING_BOILERPLATE, TRAINING_ERROR_SIGNS, TRAINING_LENGTHS
+from textloom.session import bounded
+
+MOST_SOURCES = 10_000  # lines of a report; more are an error
 
 
 def _empty(x: Column) -> Column:
@@ -88,5 +91,23 @@ def coverage(df: DataFrame) -> DataFrame:
 
 def run_report(kept: DataFrame, by: str = "source") -> str:
     """The merge counts as lines of text; there is one line per source."""
-    rows = merge_counts(kept, by).orderBy(by).limit(1000).collect()
+    rows = bounded(merge_counts(kept, by).orderBy(by), MOST_SOURCES, "sources")
     return "\n".join(f"{r[by]}: {r['kept']} kept, {r['filtered']} filtered" for r in rows)
+
+
+def crawl_report(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """One row: pages fetched and failed, section records saved, records per page, and the exit status of the run: 1 if any page failed."""
+    n = sections.agg(F.count("*").alias("sections"))
+    per_page = F.round(F.col("sections") / F.greatest("crawled", F.lit(1)), 4)
+    return crawl_counters(pages).crossJoin(n).select("crawled", "failed", "sections", per_page.alias("per_page"), exit_status(F.col("failed")).alias("exit_status"))  # a row each
+
+
+def exit_status(failed: Column) -> Column:
+    """1 if any part of a run failed, else 0; a null count has not failed."""
+    return F.when(F.coalesce(failed, F.lit(0)) > 0, 1).otherwise(0)
+
+
+def training_report(rows: DataFrame, generated: str = "generated", price: float = 0.02) -> DataFrame:
+    """One row: examples generated and skipped (null), and the estimated cost."""
+    made = F.count(F.col(generated))
+    return rows.agg(made.alias("generated"), (F.count("*") - made).alias("skipped"), F.round(made * F.lit(price), 2).alias("cost"))

@@ -49,6 +49,19 @@ def _blocks(queries: DataFrame, id_col: str, vector_col: str, extra: str | None)
         yield ids, vectors, more
 
 
+def _nearly(y: np.ndarray, q: np.ndarray, k: int, metric: str) -> list[np.ndarray]:
+    """Rows of y that may be among the k nearest of each query, by a matrix product whose rounding a margin covers."""
+    if len(y) <= k:
+        return [np.arange(len(y))] * len(q)
+    dot = y @ q.T
+    own, other = (y * y).sum(axis=1)[:, None], (q * q).sum(axis=1)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = own + other - 2 * dot if metric == "l2" else np.nan_to_num(1 - dot / np.sqrt(own * other), nan=-np.inf)
+    margin = 1e-9 * (own.max() + other[0]) if metric == "l2" else np.full(len(q), 1e-9)
+    bar = np.partition(d, k - 1, axis=0)[k - 1] + 2 * margin
+    return [np.flatnonzero(d[:, j] <= bar[j]) for j in range(len(q))]
+
+
 def search(queries: DataFrame, index: DataFrame, k: int = 5, query_id: str = "query_id", query_vector: str = "embedding", id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "l2", skip_self: bool = False, cell_col: str | None = None, probes_col: str | None = None) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of each query, exact unless cells are given.
 
@@ -60,6 +73,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, query_id: str = "qu
     out = None
     for block in _blocks(queries, query_id, query_vector, probes_col):
         shared = spark.sparkContext.broadcast(block)
+        wanted = sorted({c for p in block[2] for c in p}) if probes_col else []
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, vectors, probes = shared.value
@@ -76,21 +90,23 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, query_id: str = "qu
                 x = np.array(lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(at), q.shape[1])
                 cells = batch.column(2).to_numpy(zero_copy_only=False)[at]
                 found_q, found_i, found_d = [], [], []
-                for j in range(len(own)):
-                    ok = np.ones(len(at), bool) if probe is None else np.isin(cells, list(probe[j]))
-                    if skip_self:
-                        ok &= names[at] != own[j]
-                    if not ok.any():
+                for cell in np.unique(cells) if probe is not None else (None,):
+                    mine = np.flatnonzero(cells == cell) if probe is not None else np.arange(len(at))
+                    asking = [j for j in range(len(own)) if probe is None or int(cell) in probe[j]]
+                    if not asking:
                         continue
-                    y = x[ok]
-                    d = np.sqrt(((y - q[j]) ** 2).sum(axis=1)) if metric == "l2" else 1 - (y @ q[j]) / np.sqrt((y * y).sum(axis=1) * (q[j] @ q[j]))
-                    mine = names[at][ok]
-                    best = np.lexsort((mine, d))[:k]
-                    found_q.append(np.full(len(best), own[j])), found_i.append(mine[best]), found_d.append(d[best])
+                    y, its = x[mine], names[at][mine]
+                    near = _nearly(y, q[asking], k + skip_self, metric)  # one matrix product; the exact distances of few rows follow
+                    for j, close in zip(asking, near):
+                        close = close[its[close] != own[j]] if skip_self else close
+                        z = y[close]
+                        d = np.sqrt(((z - q[j]) ** 2).sum(axis=1)) if metric == "l2" else 1 - (z @ q[j]) / np.sqrt((z * z).sum(axis=1) * (q[j] @ q[j]))
+                        best = np.lexsort((its[close], d))[:k]
+                        found_q.append(np.full(len(best), own[j])), found_i.append(its[close][best]), found_d.append(d[best])
                 if found_q:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_q)), pa.array(np.concatenate(found_i).astype(np.int64)), pa.array(np.concatenate(found_d))], ["query_id", "id", "distance"])
 
-        one = rows.mapInArrow(run, "query_id long, id long, distance double")
+        one = (rows.where(F.col("c").isin(wanted)) if probes_col else rows).mapInArrow(run, "query_id long, id long, distance double")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
@@ -111,28 +127,41 @@ def fit_cells(index: DataFrame, cells: int, id_col: str = "vec_id", vector_col:
     return centres
 
 
-def with_cells(df: DataFrame, centres: np.ndarray, vector_col: str = "embedding", probes: int = 1, name: str = "cell") -> DataFrame:
-    """df with the nearest centre of each vector, or with an array of the nearest `probes` ones. Every row gets a cell."""
+def with_cells(df: DataFrame, centres: np.ndarray, vector_col: str = "embedding", probes: int = 1, name: str = "probes") -> DataFrame:
+    """df with an array of the nearest `probes` centres of each vector. Vectors that are null or of another size get cell 0."""
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
-    @F.pandas_udf("int" if probes == 1 else "array<int>")
+    @F.pandas_udf("array<int>")
     def nearest(v):
         import pandas as pd
 
         c = shared.value
-        out = []
-        for x in v:
-            order = np.argsort(((c - np.asarray(x, np.float64)) ** 2).sum(axis=1), kind="stable") if x is not None and len(c) else [0]
-            out.append(int(order[0]) if probes == 1 else [int(o) for o in order[:probes]])
-        return pd.Series(out, dtype=None if probes > 1 else "int32")
+        width = c.shape[1] if len(c) else 0
+        good = np.array([x is not None and len(x) == width and width > 0 for x in v], bool)
+        order = np.zeros((len(v), max(1, min(probes, len(c)))), np.int64)
+        if good.any():
+            x = np.stack(v[good].to_numpy()).astype(np.float64)
+            order[good] = np.argsort((c * c).sum(axis=1)[None, :] - 2 * (x @ c.T), axis=1, kind="stable")[:, : order.shape[1]]
+        return pd.Series(list(order))
 
     return df.withColumn(name, nearest(F.col(vector_col)))
 
 
+def with_cell(df: DataFrame, centres: np.ndarray, vector_col: str = "embedding", name: str = "cell") -> DataFrame:
+    """df with the nearest centre of each vector."""
+    return with_cells(df, centres, vector_col, 1, "_probes").withColumn(name, F.col("_probes")[0]).drop("_probes")
+
+
+def write_cells(index: DataFrame, centres: np.ndarray, path: str, vector_col: str = "embedding") -> None:
+    """The index with a folder per cell, every row in one."""
+    with_cell(index, centres, vector_col).write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
 def search_cells(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 4, **names) -> DataFrame:
-    """search() over the cells nearest to each query. Write the index partitioned by cell to have others pruned."""
-    celled = index if "cell" in index.columns else with_cells(index, centres, names.get("vector_col", "embedding"))
-    probing = with_cells(queries, centres, names.get("query_vector", "embedding"), max(2, probes), "probes")
+    """search() over the `probes` cells nearest to each query. An index stored by write_cells() has its cells as folders, and those
+    that no query probes are not read."""
+    celled = index if "cell" in index.columns else with_cell(index, centres, names.get("vector_col", "embedding"))
+    probing = with_cells(queries, centres, names.get("query_vector", "embedding"), probes)
     return search(probing, celled, k, cell_col="cell", probes_col="probes", **names)
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.strings import first_containing
 from textloom.rules import DEFAULT_SITE, QUERY_PERSONAS, Site, persona_rules
+from textloom.session import bounded
+
+MOST_QUICK_LINKS = 1_000  # literals of one expression; more are an error
 
 
 def persona(url: Column, site: Site = DEFAULT_SITE) -> Column:
@@ -26,8 +29,9 @@ def quick_link_category(pages: DataFrame, quick_links: DataFrame, url_col: str =
 
     Quick links are a dimension with a few rows; they become ordered literals, so the pages are neither shuffled nor joined.
     """
-    rows = quick_links.select("faq_ix", "category", "url").where("url IS NOT NULL AND url <> ''").orderBy("faq_ix").limit(1000).collect()
-    return pages.withColumn("faq_category", first_containing(F.col(url_col), [(r["category"], [r["url"]]) for r in rows], None))
+    rows = quick_links.select("faq_ix", "category", "url").where("url IS NOT NULL AND url <> ''").orderBy("faq_ix")
+    rules = [(r["category"], [r["url"]]) for r in bounded(rows, MOST_QUICK_LINKS, "quick links")]
+    return pages.withColumn("faq_category", first_containing(F.col(url_col), rules, None))
 
 
 def persona_allows(column: Column, wanted: str, mode: str = "exact") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.strings import PDF_FLAGS, WEB_FLAGS, remove_all, split_lines, strip
+from textloom.functions.strings import PDF_FLAGS, WEB_FLAGS, let, remove_all, split_lines, strip
 from textloom.rules import DEFAULT_SITE, Site, pdf_noise, web_boilerplate
 
 
@@ -21,11 +21,11 @@ def normalise_lines(text: Column) -> Column:
     """
     pairs = F.filter(F.transform(split_lines(text), lambda x: F.struct(x.alias("raw"), strip(x).alias("bare"))), lambda p: p["bare"] != "")
 
-    def fold(state: Column, p: Column) -> Column:
-        return F.when(p["bare"] == state["last"], state).otherwise(F.struct(F.concat(state["kept"], F.array(p["raw"])).alias("kept"), p["bare"].alias("last")))
+    def kept(lines: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(lines["bare"], F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))))
+        return F.array_compact(F.zip_with(lines, before, lambda p, b: F.when(p["bare"] != b, p["raw"])))
 
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("last"))
-    return strip(F.array_join(F.aggregate(pairs, start, fold)["kept"], "\n"))
+    return strip(F.array_join(let(pairs, kept), "\n"))
 
 
 def clean_web(text: Column, site: Site = DEFAULT_SITE) -> Column:

@@ -5,25 +5,33 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.strings import strip
 from textloom.operators import retrieval
+from textloom.rules import CHAT_TEMPLATE, SYSTEM_PROMPT
 
 LEAST_NEGATIVE = 100
 EXTRA_NEIGHBOURS = 10
 
 
-def hard_negatives(oracles: DataFrame, store: DataFrame, want: int = 3, least: int = LEAST_NEGATIVE, seed: str = "pad", exclude_same_parent: bool = False) -> DataFrame:
+def hard_negatives(oracles: DataFrame, store: DataFrame, want: int = 3, least: int = LEAST_NEGATIVE, seed: str = "pad", exclude_same_parent: bool = False, centres: np.ndarray | None = None, probes: int = 8) -> DataFrame:
     """(oracle_id, distractors): for each oracle the nearest stored texts that differ from it and are long enough.
 
     oracles: oracle_id, text, embedding. store: id, text, embedding, and parent if same-parent texts are excluded. The want + 10
     nearest are filtered, the first `want` kept; missing ones are padded with the texts that come first by md5 of seed and id, of
-    those that are not the oracle. Without any other text an oracle has fewer.
+    those that are not the oracle. Without any other text an oracle has fewer. With centres (retrieval.fit_cells) only the `probes`
+    nearest cells of an oracle are searched, which is what a run over all records as oracles needs; the neighbours are then
+    approximate, with the recall of search_cells().
     """
-    near = retrieval.search(oracles, store, want + EXTRA_NEIGHBOURS, query_id="oracle_id", id_col="id")
+    names = {"query_id": "oracle_id", "id_col": "id"}
+    if centres is None:
+        near = retrieval.search(oracles, store, want + EXTRA_NEIGHBOURS, **names)
+    else:
+        near = retrieval.search_cells(oracles, store, centres, want + EXTRA_NEIGHBOURS, probes, **names)
     own = oracles.select(F.col("oracle_id").alias("query_id"), F.col("text").alias("own_text"))
     extra = ["parent"] if exclude_same_parent else []
     texts = store.select("id", F.col("text").alias("doc"), *extra)
@@ -70,13 +78,13 @@ def parse_generated(output: Column) -> Column:
     return F.when(ok, F.struct(parsed["question"].alias("question"), parsed["thought_process"].alias("thought_process"), parsed["answer"].alias("answer")))
 
 
-def generate(df: DataFrame, prompt_col: str, client: Callable[[str], str | None], tries: int = 3, per_second: float | None = None, name: str = "generated", backoff: float = 5.0) -> DataFrame:
-    """df with the client's output for each prompt, null after `tries` failures. Each partition keeps its own rate; failures wait
-    backoff * 2^n seconds."""
+def generate(df: DataFrame, prompt_col: str, client: Callable[[str], str | None], tries: int = 3, per_second: float | None = None, name: str = "generated", backoff: float = 5.0, rest_every: int | None = None, rest_seconds: float = 60.0) -> DataFrame:
+    """df with the client's output for each prompt, null after `tries` failures. Each partition keeps its own rate, and rests for
+    rest_seconds after each rest_every outputs; failures wait backoff * 2^n seconds."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0.0
+        last, made = 0.0, 0
         for batch in batches:
             out = []
             for prompt in batch.column(prompt_col).to_pylist():
@@ -92,6 +100,9 @@ def generate(df: DataFrame, prompt_col: str, client: Callable[[str], str | None]
                         if n + 1 < tries:
                             time.sleep(backoff * 2**n)
                 out.append(text)
+                made += text is not None
+                if rest_every and text is not None and made % rest_every == 0:
+                    time.sleep(rest_seconds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -112,13 +123,6 @@ def training_rows(df: DataFrame) -> DataFrame:
     )
 
 
-CHAT_TEMPLATE = (
-    "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{system}<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n"
-    "Context: {context}\nQuestion: {question}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n<|thought|>\n{thought}\n<|answer|>\n{answer}<|eot_id|>"
-)
-SYSTEM_PROMPT = "You are a campus assistant. \nUse the provided context to answer questions. Show your reasoning before the final answer."
-
-
 def chat_text(question: Column, oracle: Column, distractors: Column, thought: Column, answer: Column, system: str = SYSTEM_PROMPT, template: str = CHAT_TEMPLATE, end: str = "<|end_of_text|>", most: int = 3) -> Column:
     """A training row as one text: oracle and up to `most` distractors as numbered documents, in the chat template.
 

@@ -51,21 +51,43 @@ AUTH = lambda u: f"regexp_extract({u}, '^[^:/?#]+://([^/?#]*)', 1)"  # noqa: E73
 PATH = lambda u: f"regexp_extract({u}, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
 HREFS = """coalesce(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1), [])"""
 WEB = "source_type IS NULL OR source_type <> 'pdf'"
+# The matcher as a loop: keywords in order, one replaces the best if it scores higher than the best one's capped score.
 FAQ = """
-WITH kw AS (SELECT faq_ix, category, url, title, description, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS kw_ix FROM faq_links),
+WITH kw AS (SELECT row_number() OVER (ORDER BY faq_ix, k) AS place, category, url, title, description, keyword FROM (SELECT faq_ix, category, url, title, description, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS k FROM faq_links) WHERE keyword <> ''),
 hit AS (
-  SELECT chat_id, faq_ix, kw_ix, category, keyword, url, title, description,
-    least(1.0::DOUBLE, length(keyword)::DOUBLE / greatest(length(lower(question)), length(keyword)) + CASE WHEN contains(' ' || lower(question) || ' ', ' ' || keyword || ' ') OR starts_with(lower(question), keyword) OR ends_with(lower(question), keyword) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) AS score
-  FROM chat_log JOIN kw ON contains(lower(question), keyword) WHERE keyword <> ''
-), best AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY score DESC, faq_ix, kw_ix) AS n FROM hit)
+  SELECT chat_id, place, category, keyword, url, title, description,
+    length(keyword)::DOUBLE / greatest(length(lower(question)), length(keyword)) + CASE WHEN contains(' ' || lower(question) || ' ', ' ' || keyword || ' ') OR starts_with(lower(question), keyword) OR ends_with(lower(question), keyword) THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS raw
+  FROM chat_log JOIN kw ON contains(lower(question), keyword)
+), tried AS (
+  SELECT chat_id, list({'raw': raw, 'best': 0.0::DOUBLE, 'category': category, 'keyword': keyword, 'url': url, 'title': title, 'description': description} ORDER BY place) AS l FROM hit GROUP BY chat_id
+), looped AS (
+  SELECT chat_id, list_reduce(list_prepend({'raw': 0.0::DOUBLE, 'best': 0.0::DOUBLE, 'category': '', 'keyword': '', 'url': '', 'title': '', 'description': ''}, l),
+    lambda a, x: CASE WHEN x.raw > a.best THEN {'raw': x.raw, 'best': least(1.0::DOUBLE, x.raw), 'category': x.category, 'keyword': x.keyword, 'url': x.url, 'title': x.title, 'description': x.description} ELSE a END) AS m FROM tried
+), best AS (SELECT chat_id, m.best AS score, m.category AS category, m.keyword AS keyword, m.url AS url, m.title AS title, m.description AS description FROM looped WHERE m.best >= 0.4)
 """
 TREE = "list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x, i: {'t': x, 'i': i})"
-ANCHORS = r"""
+
+
+def sections_of(pages: str) -> str:
+    """CTEs that end in `found`: sections of a relation with page_id, url, html and markdown."""
+    return rf"""
 anchors AS (
   SELECT page_id, ix - 1 AS ix, regexp_extract(tag, '(?is)id="([^"]+)"', 1) AS anchor_id, trim(regexp_extract(tag, '(?is)>([^<]*)$', 1), ' ' || chr(9) || chr(10) || chr(13)) AS header_text, lower(regexp_extract(tag, '(?is)^<(h[1-6])', 1)) AS level
-  FROM (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) AS ix FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6]\s[^>]*id="[^"]+"[^>]*>[^<]*') AS t FROM crawl_pages WHERE html IS NOT NULL))
-)
-"""
+  FROM (SELECT page_id, unnest(t) AS tag, generate_subscripts(t, 1) AS ix FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6]\s[^>]*id="[^"]+"[^>]*>[^<]*') AS t FROM {pages} WHERE html IS NOT NULL))
+),
+first_anchor AS (SELECT page_id, header_text, arg_min(anchor_id, ix) AS anchor_id FROM anchors GROUP BY page_id, header_text),
+anchored AS (SELECT DISTINCT page_id FROM anchors),
+lines AS (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS ix FROM {pages} WHERE page_id IN (SELECT page_id FROM anchored)),
+marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}{SP}+.') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ix) AS sec FROM lines),
+secs AS (SELECT page_id, sec, arg_min(line, ix) AS head, {strip("string_agg(line, chr(10) ORDER BY ix)")} AS content FROM marked GROUP BY page_id, sec),
+kept AS (SELECT page_id, sec, content, CASE WHEN sec > 0 THEN {strip("regexp_extract(head, '^#{1,6}" + SP + "+(.+)', 1)")} END AS title, CASE WHEN sec > 0 THEN 'h' || length(regexp_extract(head, '^(#{{1,6}})', 1)) END AS header_level FROM secs WHERE length(content) > 50),
+found AS (
+  SELECT k.page_id, CAST(row_number() OVER (PARTITION BY k.page_id ORDER BY sec) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY k.page_id) AS INTEGER) AS total_chunks, title AS section_header, content AS section_content,
+    f.anchor_id AS anchor_id, CASE WHEN f.anchor_id IS NULL THEN url ELSE url || '#' || f.anchor_id END AS anchor_url, header_level
+  FROM kept k JOIN {pages} p ON p.page_id = k.page_id LEFT JOIN first_anchor f ON f.page_id = k.page_id AND f.header_text = k.title
+  UNION ALL SELECT page_id, 0, 1, NULL, markdown, NULL, url, NULL FROM {pages} WHERE length(markdown) > 0 AND page_id NOT IN (SELECT page_id FROM kept)
+)"""
+
 
 ORACLES: dict[str, str] = {
     "knn_topk_filtered": """
@@ -112,19 +134,8 @@ l AS (SELECT rec_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(
 k AS (SELECT rec_id, string_agg(x, chr(10) ORDER BY ix) AS t FROM l WHERE NOT regexp_full_match({strip("x")}, '\\p{{Nd}}{{1,3}}') GROUP BY rec_id)
 SELECT s.rec_id, CASE WHEN s.t IS NULL THEN NULL ELSE coalesce({strip("k.t")}, '') END AS clean FROM s LEFT JOIN k USING (rec_id)""",
     "page_text_rows": f"SELECT rec_id, coalesce(array_to_string(list_transform(list_filter({TREE}, lambda p: p.i % 2 = 1), lambda p: p.t), ' '), '') AS page_text FROM campus_pdfs WHERE text IS NOT NULL",
-    "header_anchor_rows": f"WITH {ANCHORS} SELECT a.page_id, CAST(ix AS INTEGER) AS ix, anchor_id, header_text, url || '#' || anchor_id AS anchor_url, level FROM anchors a JOIN crawl_pages USING (page_id)",
-    "section_split": rf"""
-WITH {ANCHORS},
-first_anchor AS (SELECT page_id, header_text, arg_min(anchor_id, ix) AS anchor_id FROM anchors GROUP BY page_id, header_text),
-anchored AS (SELECT DISTINCT page_id FROM anchors),
-lines AS (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) AS ix FROM crawl_pages WHERE page_id IN (SELECT page_id FROM anchored)),
-marked AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,6}}[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+.') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY ix) AS sec FROM lines),
-secs AS (SELECT page_id, sec, arg_min(line, ix) AS head, {strip("string_agg(line, chr(10) ORDER BY ix)")} AS content FROM marked GROUP BY page_id, sec),
-kept AS (SELECT page_id, sec, content, CASE WHEN sec > 0 THEN {strip(r"regexp_extract(head, '^#{{1,6}}[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+(.+)', 1)")} END AS title, CASE WHEN sec > 0 THEN 'h' || length(regexp_extract(head, '^(#{{1,6}})', 1)) END AS header_level FROM secs WHERE length(content) > 50)
-SELECT k.page_id, CAST(row_number() OVER (PARTITION BY k.page_id ORDER BY sec) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY k.page_id) AS INTEGER) AS total_chunks, title AS section_header, content AS section_content,
-  f.anchor_id AS anchor_id, CASE WHEN f.anchor_id IS NULL THEN url ELSE url || '#' || f.anchor_id END AS anchor_url, header_level
-FROM kept k JOIN crawl_pages p ON p.page_id = k.page_id LEFT JOIN first_anchor f ON f.page_id = k.page_id AND f.header_text = k.title
-UNION ALL SELECT page_id, 0, 1, NULL, markdown, NULL, url, NULL FROM crawl_pages WHERE length(markdown) > 0 AND page_id NOT IN (SELECT page_id FROM kept)""".replace("{{", "{").replace("}}", "}"),
+    "header_anchor_rows": "WITH " + sections_of("crawl_pages") + " SELECT a.page_id, CAST(ix AS INTEGER) AS ix, anchor_id, header_text, url || '#' || anchor_id AS anchor_url, level FROM anchors a JOIN crawl_pages USING (page_id)",
+    "section_split": "WITH " + sections_of("crawl_pages") + " SELECT * FROM found",
     "index_chunk_rows": """
 WITH k AS (SELECT *, coalesce(section_header, '') AS sh, coalesce(pdf_page, 0) AS pp FROM combined_campus_data WHERE text <> ''),
 c AS (SELECT *, substring(text, s + 1, 500) AS document, CAST(s // 450 AS INTEGER) AS chunk_ix FROM (SELECT *, unnest(range(0, length(text), 450)) AS s FROM k WHERE length(text) > 500)
@@ -166,8 +177,8 @@ r(url, depth) AS (
     "new_links": f"""
 SELECT DISTINCT split_part(href, '#', 1) AS url FROM (SELECT unnest({HREFS}) AS href FROM crawl_pages)
 EXCEPT SELECT split_part(url, '#', 1) FROM crawl_pages WHERE url IS NOT NULL""",
-    "faq_match": FAQ + "SELECT chat_id, category, keyword, round(score, 6) AS confidence FROM best WHERE n = 1 AND score >= 0.4",
-    "faq_answers": FAQ + "SELECT chat_id, '**Quick Answer:**' || chr(10) || chr(10) || description || chr(10) || chr(10) || '**[Visit ' || title || '](' || url || ')**' || chr(10) || chr(10) || '*This is a high-confidence direct link (confidence: ' || CAST(round_even(score * 100, 0) AS INTEGER) || '%)*' || chr(10) AS answer FROM best WHERE n = 1 AND score >= 0.4",
+    "faq_match": FAQ + "SELECT chat_id, category, keyword, round(score, 6) AS confidence FROM best",
+    "faq_answers": FAQ + "SELECT chat_id, '**Quick Answer:**' || chr(10) || chr(10) || description || chr(10) || chr(10) || '**[Visit ' || title || '](' || url || ')**' || chr(10) || chr(10) || '*This is a high-confidence direct link (confidence: ' || CAST(round_even(score * 100, 0) AS INTEGER) || '%)*' || chr(10) AS answer FROM best",
     "source_extract": f"""
 WITH l AS (SELECT rec_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM combined_campus_data WHERE contains(text, 'http')),
 h AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY k) - 1 AS ix FROM l WHERE contains(x, 'http'))
@@ -175,7 +186,7 @@ SELECT rec_id, CAST(ix AS INTEGER) AS ix, 'http' || {strip("split_part(split_par
   CASE WHEN {strip("replace(split_part(x, 'http', 1), 'Source:', '')")} = '' THEN 'University Resource' ELSE {strip("replace(split_part(x, 'http', 1), 'Source:', '')")} END AS title FROM h""",
     "hit_format": """
 WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), b.vec_id) AS n FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
-SELECT query_id, string_agg('Source: ' || coalesce(title, 'No Title') || CASE WHEN coalesce(source, '') <> '' THEN ' - ' || source ELSE '' END || chr(10) || 'Link: ' || coalesce(url, 'Unknown URL') || chr(10) || 'Content: ' || coalesce(left(text, 100), '') || chr(10) || chr(10), '' ORDER BY n) AS answer
+SELECT query_id, string_agg('Source: ' || coalesce(title, 'No Title') || CASE WHEN coalesce(source, '') <> '' THEN ' - ' || source ELSE '' END || chr(10) || 'Link: ' || coalesce(url, 'Unknown URL') || chr(10) || 'Content: ' || coalesce(text, '') || chr(10) || chr(10), '' ORDER BY n) AS answer
 FROM d JOIN documents ON doc_id = id WHERE n <= 5 GROUP BY query_id""",
     "cite_links": "SELECT rec_id, CASE WHEN coalesce(section_header, '') <> '' THEN '[' || title || ' - ' || section_header || '](' || anchor_url || ')' ELSE '[' || title || '](' || url || ')' END AS link FROM combined_campus_data",
     "hard_negative_rows": """
@@ -212,3 +223,75 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
 }
 ORACLES["streamed_chunks"] = ORACLES["index_chunk_rows"].replace("combined_campus_data", "campus_pdfs").replace("SELECT sha256", "SELECT DISTINCT sha256").split(", coalesce(anchor_url")[0] + ", pp AS pdf_page FROM c"
+
+CLEAN_PAGES = f"""
+cleaned AS ({deduped("crawl_pages", "page_id", removed("coalesce(markdown, '')", web_boilerplate(DEFAULT_SITE), "gsi"))}),
+pages AS (SELECT p.page_id, p.url, p.html, p.metadata, c.clean AS markdown FROM crawl_pages p JOIN cleaned c USING (page_id) WHERE coalesce(p.success, false) AND length(c.clean) > 100),
+{sections_of("pages")}"""
+VALUE = lambda key, default: f"CASE WHEN list_contains(map_keys(metadata), '{key}') THEN metadata['{key}'] ELSE '{default}' END"
+JOINED = lambda base, href: f"CASE WHEN regexp_matches({href}, '^[a-z]+://') THEN {href} WHEN starts_with({href}, '/') THEN regexp_extract({base}, '^([a-z]+://[^/]*)', 1) || {href} ELSE regexp_extract({base}, '^([a-z]+://[^/]*)', 1) || regexp_replace(regexp_extract({base}, '^[a-z]+://[^/]*(.*)$', 1), '[^/]*/?[^/]*$', '') || CASE WHEN regexp_extract({base}, '^[a-z]+://[^/]*(.*)$', 1) LIKE '/%/%' THEN '' ELSE '/' END || regexp_replace({href}, '^\\.\\./', '') END"  # noqa: E731  # of absolute links, paths and ../
+ADMITTED = lambda u: f"({any_of(AUTH(u), list(DEFAULT_SITE.allowed))} AND NOT regexp_matches(lower({PATH(u)}), '\\.(?:{'|'.join(IGNORED_EXTENSIONS)})$') AND NOT contains({u}, '#'))"
+ORACLES |= {
+    "web_section_records": f"""
+WITH {CLEAN_PAGES},
+quick AS (SELECT page_id, arg_min(category, faq_ix) AS category FROM pages JOIN faq_links f ON contains(pages.url, f.url) GROUP BY page_id)
+SELECT {VALUE("title", "No Title")} AS title, section_header, section_content AS text, p.url, anchor_url, anchor_id, header_level, {first_of("lower(p.url)", persona_rules(DEFAULT_SITE), q("all"))} AS persona, q.category AS faq_category, chunk_index, total_chunks, {VALUE("scraped_at", "")} AS page_scraped_at
+FROM found f JOIN pages p ON p.page_id = f.page_id LEFT JOIN quick q ON q.page_id = f.page_id""",
+    "crawl_report": f"""
+WITH {CLEAN_PAGES},
+c AS (SELECT count(*) FILTER (coalesce(success, false)) AS crawled, count(*) FILTER (NOT coalesce(success, false)) AS failed FROM crawl_pages), n AS (SELECT count(*) AS sections FROM found)
+SELECT crawled, failed, sections, round(sections / greatest(crawled, 1), 4) AS per_page, CASE WHEN failed > 0 THEN 1 ELSE 0 END AS exit_status FROM c, n""",
+    "pdf_chunk_records": f"""
+WITH RECURSIVE tidy AS ({ORACLES["clean_pdf_text"]}), cleaned AS (SELECT rec_id, clean AS text FROM tidy WHERE length(clean) >= 50),
+{ORACLES["chunk_boundary_rows"].replace("campus_pdfs", "cleaned").replace("WITH RECURSIVE", "", 1).replace("SELECT rec_id, CAST(row_number()", "all_chunks AS (SELECT rec_id, CAST(row_number()")})
+SELECT p.title, 'Page ' || pdf_page AS section_header, a.chunk AS text, p.url, split_part(split_part(url, '#', 1), '?', 1) || '#page=' || pdf_page AS anchor_url, 'page-' || pdf_page AS anchor_id, 'pdf' AS source_type, pdf_page, total_pages,
+  ix AS chunk_index, CAST(count(*) OVER (PARTITION BY a.rec_id) AS INTEGER) AS total_chunks_on_page, coalesce(persona, 'all') AS persona, coalesce(priority, 'medium') AS priority, pdf_key, pdf_filename FROM all_chunks a JOIN campus_pdfs p USING (rec_id)""".replace("), c AS (SELECT rec_id, step", "), c AS (SELECT rec_id, step"),
+    "link_targets": f"""
+WITH h AS (SELECT page_id, url, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) - 1 AS ix FROM crawl_pages)
+SELECT page_id, CAST(ix AS INTEGER) AS link_ix, split_part({JOINED("url", "href")}, '#', 1) AS target FROM h""",
+    "generation_prompt_length": """
+SELECT raft_id, length('Write one training example for retrieval-augmented answering. The ORACLE holds the answer, the DISTRACTORS do not.' || chr(10) || chr(10) || 'Document metadata:' || chr(10) || header || chr(10) || 'ORACLE:' || chr(10) || '\"\"\"' || oracle || '\"\"\"' || chr(10) || chr(10) || 'DISTRACTORS:' || chr(10) || block
+  || chr(10) || chr(10) || 'Return one JSON object without code fences, with the keys "question" (what a real ' || coalesce(persona, 'all') || ' would ask and only the oracle answers), "thought_process" (why the oracle answers it and each distractor does not) and "answer" (short, from the oracle only).' || chr(10)) AS chars
+FROM (""".replace('\\"', '"') + ORACLES["generation_prompts"] + ") JOIN raft_dataset USING (raft_id)",
+    "response_metadata": """
+WITH m AS (SELECT chat_id, unnest(map_entries(metadata)) AS e FROM chat_log WHERE metadata IS NOT NULL)
+SELECT chat_id, e.key AS key, e.value AS value FROM m WHERE e.key <> 'processing_time' UNION ALL SELECT chat_id, 'processing_time', CAST(round((chat_id % 1000)::DOUBLE / 300, 2) AS VARCHAR) FROM chat_log""",
+    "crawl_loop": f"""
+WITH RECURSIVE stored AS (SELECT page_id % (SELECT count(*) FROM crawl_pages) AS k, coalesce(success, false) AS success, {HREFS} AS hrefs FROM crawl_pages),
+loop AS (
+  SELECT CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS crawled, (SELECT list(url ORDER BY page_id) FROM (SELECT url, min(page_id) AS page_id FROM crawl_pages WHERE page_id <= 3 AND url IS NOT NULL GROUP BY url)) AS queue
+  UNION ALL
+  SELECT i + 1, crawled + CASE WHEN s.success THEN 1 ELSE 0 END,
+    CASE WHEN s.success THEN list_reduce(list_prepend(queue, list_transform(list_filter(list_transform(s.hrefs, lambda h: split_part({JOINED("queue[i]", "h")}, '#', 1)), lambda u: {ADMITTED("u")}), lambda u: [u])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END) ELSE queue END
+  FROM loop JOIN stored s ON s.k = CAST('0x' || left(md5(queue[i]), 8) AS BIGINT) % (SELECT count(*) FROM crawl_pages)
+  WHERE i <= len(queue) AND crawled < 40
+), last AS (SELECT queue, i FROM loop ORDER BY i DESC LIMIT 1), done AS (SELECT unnest(list_slice(queue, 1, i - 1)) AS url FROM last)
+SELECT url, s.success FROM done JOIN stored s ON s.k = CAST('0x' || left(md5(url), 8) AS BIGINT) % (SELECT count(*) FROM crawl_pages)""",
+    "training_report": "SELECT count(thought_process) AS generated, count(*) - count(thought_process) AS skipped, round(count(thought_process) * 0.02::DOUBLE, 2) AS cost FROM raft_dataset",
+    "persona_knn_topk": """
+WITH v AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1),
+d AS (SELECT vec_id, persona, list_distance(embedding::DOUBLE[], q) AS dist FROM documents JOIN embeddings ON doc_id = vec_id, v WHERE persona IN ('student', 'all'))
+SELECT CAST(row_number() OVER (ORDER BY dist, vec_id) AS INTEGER) AS rank, vec_id, persona, round(dist, 6) AS distance FROM d ORDER BY dist, vec_id LIMIT 5""",
+    "pdf_hits": """
+SELECT rec_id, 'Source: ' || coalesce(title, 'No Title') || CASE WHEN coalesce(section_header, '') <> '' THEN ' - ' || section_header ELSE '' END || CASE WHEN coalesce(source_type, 'web') = 'pdf' AND coalesce(pdf_page, 0) <> 0 THEN ' (PDF Page ' || pdf_page || ')' ELSE '' END
+  || chr(10) || 'Link: ' || coalesce(anchor_url, url, 'Unknown URL') || chr(10) || 'Content: ' || coalesce(text, '') || chr(10) || chr(10) AS hit FROM campus_pdfs""",
+    "citation_lists": "SELECT chat_id, '### Sources & Quick Links' || chr(10) || array_to_string(list_transform(sources, lambda s: '- [' || s['title'] || '](' || s['url'] || ')'), chr(10)) AS list FROM chat_log WHERE len(sources) > 0",
+    "command_prefixes": "SELECT chat_id, CASE left(lower(question), 1) WHEN 'c' THEN '/clone' WHEN 'p' THEN '/page' WHEN 'i' THEN '/improve' WHEN 'w' THEN '/what' WHEN 'h' THEN '/how' WHEN '' THEN '/clone' END AS command FROM chat_log",
+    "message_histories": "SELECT chat_id, 'user' AS role, question AS content, 0 AS n_sources FROM chat_log UNION ALL SELECT chat_id, 'assistant', answer, CAST(coalesce(len(sources), 0) AS INTEGER) FROM chat_log",
+    "pdf_catalogue_rows": f"""
+SELECT * FROM (VALUES ('undergraduate_catalog', 'https://catalog.{DEFAULT_SITE.domain}/content.php?catoid=49&navoid=2687&print', 'Undergraduate Catalog 2025-2026', 'prospective,student', 'critical'),
+  ('graduate_catalog', 'https://catalog.{DEFAULT_SITE.domain}/content.php?catoid=50&navoid=2688&print', 'Graduate Catalog 2025-2026', 'prospective,student', 'critical')) t(pdf_key, url, title, persona, priority)""",
+    "json_strict_rows": "SELECT raft_id, question, oracle, thought_process, answer, source_url, title, section_header, persona, coalesce(source_type, 'web') AS source_type, pdf_page, CAST(len(distractors) AS INTEGER) AS n_distractors FROM raft_dataset",
+    "json_drop_rows": "SELECT question, answer, CAST(len(distractors) AS INTEGER) AS n_distractors FROM raft_dataset WHERE raft_id % 7 <> 0",
+    "json_absent_rows": "SELECT rec_id, url, CASE WHEN rec_id % 3 = 0 THEN url WHEN rec_id % 5 <> 0 THEN anchor_url END AS anchor_url, CASE WHEN rec_id % 3 = 0 THEN 'all' WHEN rec_id % 5 <> 0 THEN persona END AS persona FROM combined_campus_data",
+    "missing_file_rows": "SELECT question, answer FROM raft_dataset WHERE false",
+    "fallback_path_rows": "SELECT faq_ix, category FROM faq_links",
+    "resumed_rows": "SELECT chat_id, question FROM chat_log",
+    "stored_index_rows": "SELECT chunk_id, chunk_ix, document, pdf_page FROM (" + ORACLES["index_chunk_rows"] + ") WHERE source_type = 'pdf'",
+    "sitemap_urls": "SELECT url FROM crawl_pages WHERE url IS NOT NULL",
+    "fetched_pages": "SELECT DISTINCT url, CASE WHEN url NOT LIKE '%3' THEN '<p>' || url || '</p>' END AS html, url NOT LIKE '%3' AS success, CASE WHEN url NOT LIKE '%3' THEN '200' END AS status FROM crawl_pages WHERE url IS NOT NULL",
+    "pdf_downloads": "SELECT DISTINCT pdf_key AS key, true AS ok, false AS cached_first, true AS cached_second FROM campus_pdfs WHERE pdf_key IS NOT NULL AND url IS NOT NULL",
+    "pdf_page_rows": """
+WITH f AS (SELECT pdf_key, min(url) AS title, CAST(length(min(url)) % 5 + 1 AS INTEGER) AS page_count FROM campus_pdfs WHERE pdf_key IS NOT NULL AND url IS NOT NULL GROUP BY pdf_key)
+SELECT pdf_key, page_count, title, 'office' AS author, CAST(n AS INTEGER) AS page_no, 'page ' || n AS page_text FROM (SELECT *, unnest(range(0, page_count)) AS n FROM f)""",
+}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.strings import strip
+from textloom import schemas
 from textloom.operators import chunk, faq, quality, records, retrieval, sections, serving, tags, text, training, urls
-from textloom.session import shared_folder
+from textloom.rules import pdf_catalogue
+from textloom.session import cut, scratch_folder
+from textloom.sources import readers, writers
 from textloom.sources.readers import nth_row, page_range, table
 from textloom.streaming import ingest
 
@@ -293,7 +296,7 @@ def faq_answers(spark, sf):
     """Answers with quick links."""
     links = table(spark, sf, "faq_links")
     m = faq.match(table(spark, sf, "chat_log").select("chat_id", "question"), links)
-    joined = m.join(F.broadcast(links.select("category", "url", "title", "description").limit(1000)), "category")
+    joined = m.join(links.select("category", "url", "title", "description"), "category")
     return joined.select("chat_id", faq.answer(F.col("description"), F.col("title"), F.col("url"), F.col("confidence")).alias("answer"))
 
 
@@ -420,7 +423,7 @@ def answered_questions(spark, sf):
     """Every 20th question answered by a quick link or by the nearest chunks, with hashed embeddings."""
     asked = table(spark, sf, "chat_log").where("chat_id % 20 = 0 AND question IS NOT NULL").select(F.col("chat_id").alias("query_id"), "question")
     links = table(spark, sf, "faq_links")
-    quick = faq.match(asked, links).join(F.broadcast(links.select("category", "url", "title", "description").limit(1000)), "category")
+    quick = faq.match(asked, links).join(links.select("category", "url", "title", "description"), "category")
     quick = quick.select("query_id", faq.answer(F.col("description"), F.col("title"), F.col("url"), F.col("confidence")).alias("answer"))
     index = retrieval.with_embeddings(records.index_chunks(table(spark, sf, "combined_campus_data")), "document")
     return retrieval.answered(asked, index, quick)
@@ -438,7 +441,7 @@ def stripped_titles(spark, sf):
 def streamed_chunks(spark, sf):
     """PDF records chunked by a stream that has seen all files: the same as index chunks of the table."""
     source = f"{sf}/campus_pdfs.parquet"
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     schema = spark.read.parquet(source).schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source if spark.read.parquet(source).inputFiles()[0].rstrip("/").count("campus_pdfs.parquet/") else f"{sf}/campus_pdfs.parque[t]")
     ingest.start_ingest(files, f"{folder}/out", f"{folder}/state").awaitTermination()
@@ -455,3 +458,203 @@ def event_windows(spark, sf):
 def event_sessions(spark, sf):
     """Beyond reference: sessions of users."""
     return ingest.sessions(table(spark, sf, "events"))
+
+
+def _stored(pages: DataFrame):
+    """A client that serves every url one of the stored pages, chosen by the url's md5."""
+    n = pages.count()
+    numbered = pages.select("html", "markdown", "success", "metadata", (F.col("page_id") % n).alias("k"))  # ids run from 1 to n
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        k = F.conv(F.left(F.md5("url"), F.lit(8)), 16, 10).cast("long") % n
+        return wanted.withColumn("k", k).join(numbered, "k").drop("k")
+
+    return fetch
+
+
+@query
+def crawl_loop(spark, sf):
+    """Urls fetched by a crawl from the first three pages until 40 pages had success, with a client that serves stored pages."""
+    p = table(spark, sf, "crawl_pages")
+    seeds = p.where("page_id <= 3").select("url", F.col("page_id").alias("place"))
+    return urls.crawl(seeds, _stored(p), 40).select("url", "success")
+
+
+@query
+def crawl_report(spark, sf):
+    """Counters and exit status of a run over the crawled pages."""
+    p = table(spark, sf, "crawl_pages")
+    return quality.crawl_report(p, records.web_sections(p))
+
+
+@query
+def training_report(spark, sf):
+    """Counters of a generation run, with the thoughts as its outputs."""
+    return quality.training_report(table(spark, sf, "raft_dataset"), "thought_process")
+
+
+@query
+def persona_knn_topk(spark, sf):
+    """The 5 nearest documents of the first vector among those that may answer a student: the filter comes before the ranking."""
+    e = table(spark, sf, "embeddings")
+    vector = nth_row(e.where("embedding IS NOT NULL"), "vec_id", 0).first()["embedding"]
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "persona").join(e, "vec_id")
+    top = retrieval.search_one(d, vector, 5, tags.persona_allows(F.col("persona"), "student"))
+    return top.select("rank", "vec_id", "persona", F.round("distance", 6).alias("distance"))
+
+
+@query
+def pdf_hits(spark, sf):
+    """PDF records as hits, with their pages."""
+    p = table(spark, sf, "campus_pdfs")
+    shown = retrieval.hit_text(F.col("title"), F.col("section_header"), F.col("source_type"), F.col("pdf_page"), F.coalesce("anchor_url", "url"), F.col("text"))
+    return p.select("rec_id", shown.alias("hit"))
+
+
+@query
+def citation_lists(spark, sf):
+    """Sources of answers as lists of citations."""
+    cited = F.transform("sources", lambda s: retrieval.citation(s["title"], F.lit(""), s["url"], s["url"]))
+    return table(spark, sf, "chat_log").where("size(sources) > 0").select("chat_id", retrieval.citation_list(cited).alias("list"))
+
+
+@query
+def command_prefixes(spark, sf):
+    """The first command that a question's first letter completes to."""
+    prefix = F.concat(F.lit("/"), F.left(F.lower("question"), F.lit(1)))
+    return table(spark, sf, "chat_log").select("chat_id", serving.command(prefix, ["/clone", "/page", "/improve", "/what", "/how", "/where", "/can"]).alias("command"))
+
+
+@query
+def message_histories(spark, sf):
+    """Questions as a history, with the answers and their sources appended."""
+    c = table(spark, sf, "chat_log")
+    asked = c.select("chat_id", F.lit("user").alias("role"), F.col("question").alias("content"))
+    given = c.select("chat_id", F.lit("assistant").alias("role"), F.col("answer").alias("content"), "sources")
+    return serving.append_messages(asked, given.limit(0)).unionByName(given).select("chat_id", "role", "content", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"))
+
+
+@query
+def pdf_catalogue_rows(spark, sf):
+    """The static catalogue of PDF files."""
+    return spark.createDataFrame(pdf_catalogue(), "pdf_key string, url string, title string, persona string, priority string")
+
+
+RAFT_COLUMNS = ["question", "oracle", "thought_process", "answer", "source_url", "title", "section_header", "persona", "source_type", "pdf_page"]
+
+
+def _raft_lines(spark, sf) -> DataFrame:
+    r = table(spark, sf, "raft_dataset")
+    fields = [F.lit(c) if c not in r.columns else F.col(c) for c in [x.split()[0] for x in schemas.RAFT.split(", ")]]
+    return r.select("raft_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
+@query
+def json_strict_rows(spark, sf):
+    """Training rows written as JSON lines and read back strictly."""
+    folder = scratch_folder(spark, "json")
+    r = table(spark, sf, "raft_dataset")
+    writers.write_json_lines(r.select("raft_id", "distractors", *RAFT_COLUMNS), folder)
+    back = readers.json_lines(spark, folder, "raft_id long, " + schemas.RAFT)
+    return back.select("raft_id", *RAFT_COLUMNS, F.size("distractors").alias("n_distractors"))
+
+
+@query
+def json_drop_rows(spark, sf):
+    """JSON lines of which every seventh is cut short: the others."""
+    folder = scratch_folder(spark, "json")
+    lines = _raft_lines(spark, sf)
+    lines.select(F.when(F.col("raft_id") % 7 == 0, F.left("value", F.lit(30))).otherwise(F.col("value")).alias("value")).write.text(folder)
+    return readers.json_lines(spark, folder, schemas.RAFT, "drop").select("question", "answer", F.size("distractors").alias("n_distractors"))
+
+
+@query
+def json_absent_rows(spark, sf):
+    """JSON lines whose anchor_url and persona are absent from every third record and null in every fifth: absent keys are filled."""
+    folder = scratch_folder(spark, "json")
+    c = table(spark, sf, "combined_campus_data")
+    whole = F.struct("rec_id", "url", F.when(F.col("rec_id") % 5 != 0, F.col("anchor_url")).alias("anchor_url"), F.when(F.col("rec_id") % 5 != 0, F.col("persona")).alias("persona"))
+    text_ = F.when(F.col("rec_id") % 3 == 0, F.to_json(F.struct("rec_id", "url"), {"ignoreNullFields": "false"})).otherwise(F.to_json(whole, {"ignoreNullFields": "false"}))
+    c.select(text_.alias("value")).write.text(folder)
+    return readers.json_lines_absent(spark, folder, "rec_id long, url string, anchor_url string, persona string", {"anchor_url": "url"}, {"persona": "all"})
+
+
+@query
+def missing_file_rows(spark, sf):
+    """A missing file has no records."""
+    return readers.json_lines(spark, f"{sf}/no-such-file.jsonl", schemas.RAFT).select("question", "answer")
+
+
+@query
+def fallback_path_rows(spark, sf):
+    """The first of the paths that exists."""
+    found = readers.first_existing(spark, [f"{sf}/no-such-file.parquet", f"{sf}/faq_links.parquet"])
+    return spark.read.parquet(found).select("faq_ix", "category")
+
+
+@query
+def resumed_rows(spark, sf):
+    """A resumed append: half of the questions are stored, then all are offered, and each is stored once."""
+    folder = scratch_folder(spark, "json")
+    c = table(spark, sf, "chat_log").select("chat_id", "question")
+    writers.write_json_lines(c.where("chat_id % 2 = 0"), folder)
+    writers.append_new(c, folder, "chat_id", "chat_id long, question string")
+    return readers.json_lines(spark, folder, "chat_id long, question string")
+
+
+@query
+def stored_index_rows(spark, sf):
+    """PDF chunks of the stored index, read back by partition."""
+    folder = scratch_folder(spark, "index")
+    writers.write_index(records.index_chunks(table(spark, sf, "combined_campus_data")), folder)
+    return spark.read.parquet(folder).where("source_type = 'pdf'").select("chunk_id", "chunk_ix", "document", "pdf_page")
+
+
+@query
+def sitemap_urls(spark, sf):
+    """Urls of crawled pages written as sitemap files and read back."""
+    folder = scratch_folder(spark, "sitemap")
+    table(spark, sf, "crawl_pages").where("url IS NOT NULL").select(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>")).alias("value")).write.text(folder)
+    return readers.sitemap(spark, folder)
+
+
+def _page_client(url: str) -> dict:
+    if url.endswith("3"):
+        raise OSError("no answer")
+    return {"html": f"<p>{url}</p>", "markdown": url, "success": True, "metadata": {"status": 200}}
+
+
+@query
+def fetched_pages(spark, sf):
+    """Pages of all urls by a client that fails for some."""
+    asked = table(spark, sf, "crawl_pages").where("url IS NOT NULL").select("url").distinct()
+    return readers.fetched(spark, asked, _page_client).select("url", "html", "success", F.col("metadata")["status"].alias("status"))
+
+
+def _pdf_client(url: str) -> bytes:
+    if url is None:
+        raise ValueError("no url")
+    return json.dumps({"title": url, "author": "office", "subject": None, "pages": [[{"type": 0, "lines": [{"spans": [{"text": f"page {k}"}]}]}] for k in range(len(url) % 5 + 1)]}).encode()
+
+
+def _pdf_files(spark, sf) -> tuple[str, DataFrame]:
+    folder = scratch_folder(spark, "pdf")
+    files = table(spark, sf, "campus_pdfs").where("pdf_key IS NOT NULL AND url IS NOT NULL").groupBy("pdf_key").agg(F.min("url").alias("url"))
+    return folder, cut(readers.downloaded(cut(files), folder, _pdf_client))
+
+
+@query
+def pdf_downloads(spark, sf):
+    """PDF files fetched once; a second run finds all of them."""
+    folder, first = _pdf_files(spark, sf)
+    files = table(spark, sf, "campus_pdfs").where("pdf_key IS NOT NULL AND url IS NOT NULL").groupBy("pdf_key").agg(F.min("url").alias("url"))
+    second = readers.downloaded(files, folder, _pdf_client)
+    return first.select("key", "ok", F.col("cached").alias("cached_first")).join(second.select("key", F.col("cached").alias("cached_second")), "key")
+
+
+@query
+def pdf_page_rows(spark, sf):
+    """Pages and metadata of downloaded PDF files."""
+    folder, _ = _pdf_files(spark, sf)
+    p = readers.pdf_pages(spark, folder, json.loads)
+    return p.select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("pdf_key"), "page_count", "title", "author", "page_no", text.page_text(F.col("blocks")).alias("page_text"))

@@ -91,6 +91,23 @@ QUICK_LINK_KEYWORDS = [
     ("registrar", ["registrar", "registration", "transcript", "grades", "enroll", "get my transcript"]),
     ("calendar", ["calendar", "dates", "deadlines", "semester", "when", "schedule"]),
 ]
+# The chat template of training rows, with its special tokens.
+CHAT_TEMPLATE = (
+    "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\n{system}<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n"
+    "Context: {context}\nQuestion: {question}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n<|thought|>\n{thought}\n<|answer|>\n{answer}<|eot_id|>"
+)
+SYSTEM_PROMPT = "You are a campus assistant. \nUse the provided context to answer questions. Show your reasoning before the final answer."
+
+
+def pdf_catalogue(site: Site = DEFAULT_SITE) -> list[tuple[str, str, str, str, str]]:
+    """Fixed values: (pdf_key, url, title, persona, priority) of the catalogues that are read as PDF."""
+    host = f"https://catalog.{site.domain}"
+    return [
+        ("undergraduate_catalog", f"{host}/content.php?catoid=49&navoid=2687&print", "Undergraduate Catalog 2025-2026", "prospective,student", "critical"),
+        ("graduate_catalog", f"{host}/content.php?catoid=50&navoid=2688&print", "Graduate Catalog 2025-2026", "prospective,student", "critical"),
+    ]
+
+
 CHUNK_SIZE, CHUNK_OVERLAP = 500, 50
 PDF_CHUNK_SIZE, PDF_CHUNK_OVERLAP = 1000, 100
 LEAST_PAGE, LEAST_SECTION, LEAST_PDF_PAGE = 100, 50, 50

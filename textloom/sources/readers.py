@@ -90,6 +90,39 @@ def fetched(spark: SparkSession, urls: DataFrame, fetch: Callable[[str], dict],
     return urls.select(F.col(url_col).alias("url")).mapInArrow(run, schemas.PAGE)
 
 
+def downloaded(files: DataFrame, folder: str, fetch: Callable[[str], bytes], key_col: str = "pdf_key", url_col: str = "url") -> DataFrame:
+    """(key, path, ok, cached): files of urls, kept as <key>.pdf in a folder that all executors mount.
+
+    A file that is there is not fetched again. A failing fetch gives ok = false and leaves no file; a file appears only whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = folder.removeprefix("file:")
+        os.makedirs(base, exist_ok=True)
+        for batch in batches:
+            rows = []
+            for key, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = os.path.join(base, f"{key}.pdf")
+                cached = os.path.exists(path)
+                ok = cached
+                if not cached:
+                    try:
+                        content = fetch(url)
+                        part = f"{path}.{os.getpid()}.part"
+                        with open(part, "wb") as out:
+                            out.write(content)
+                        os.replace(part, path)
+                        ok = True
+                    except Exception:  # the client's failures are files without success
+                        ok = False
+                rows.append((key, path, ok, cached))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["key", "path", "ok", "cached"])
+
+    return files.select(F.col(key_col).cast("string").alias("key"), F.col(url_col).alias("url")).mapInArrow(run, "key string, path string, ok boolean, cached boolean")
+
+
 def pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], dict]) -> DataFrame:
     """(path, page_count, title, author, subject, page_no, blocks) of PDF files, one task per file, opened once.
 

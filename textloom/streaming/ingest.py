@@ -18,21 +18,12 @@ def record_stream(spark: SparkSession, folder: str, schema: str, form: str = "pa
 def start_ingest(records: DataFrame, out: str, checkpoint: str, size: int = 500, overlap: int = 50, embed: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Chunks of arriving records, appended to Parquet; a chunk_id that is stored already is left out.
 
-    The files of each batch carry its number, so a batch that runs again after a failure replaces what it wrote.
+    Keys are the state of a streaming dropDuplicates, partitioned by hash: a batch looks up its own keys and never reads what is
+    stored. The file sink logs its commits in `out`, so a batch that runs again after a failure is stored once.
     """
-
-    def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        from textloom.sources.readers import exists
-
-        chunks = index_chunks(batch, size, overlap).dropDuplicates(["chunk_id"])
-        if exists(spark, out):
-            old = spark.read.parquet(out).where(F.col("batch") < number).select("chunk_id")
-            chunks = chunks.join(old, "chunk_id", "left_anti")
-        chunks = embed(chunks) if embed else chunks
-        chunks.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    return records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    chunks = index_chunks(records, size, overlap).dropDuplicates(["chunk_id"])
+    chunks = embed(chunks) if embed else chunks
+    return chunks.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
