@@ -21,6 +21,11 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), body), 1)
 
 
+def totalled(items: Column, name: str) -> Column:
+    """items as structs of their number and the item, so that one generator gives both and the items are evaluated once."""
+    return let(items, lambda all_: F.transform(all_, lambda x: F.struct(F.size(all_).alias("total"), x.alias(name))))
+
+
 def strip(x: Column) -> Column:
     """x without white space at both ends; tabs, line ends and the separators U+001C to U+001F count."""
     return F.regexp_replace(x, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.strings import strip
+from textloom.functions.strings import let, strip, totalled
 from textloom.rules import CHUNK_OVERLAP, CHUNK_SIZE, PDF_CHUNK_OVERLAP, PDF_CHUNK_SIZE, SLICE
 
 
@@ -34,6 +34,10 @@ def boundary_chunks(text: Column, size: int = PDF_CHUNK_SIZE, overlap: int = PDF
     A text up to size is one chunk as it is. A window starts overlap before the end of the one before, so tails of mere overlap
     occur. The minimum advance bounds the number of windows.
     """
+    return let(text, lambda t: _boundary_chunks(t, size, overlap))
+
+
+def _boundary_chunks(text: Column, size: int, overlap: int) -> Column:
     fifth = int(size * 0.2)
     least = size - fifth + 2 - overlap
     if overlap < 0 or least <= 0:
@@ -57,5 +61,5 @@ def boundary_chunks(text: Column, size: int = PDF_CHUNK_SIZE, overlap: int = PDF
 
 def explode_chunks(df: DataFrame, chunks: Column, index: str = "chunk_index", total: str = "total_chunks", text: str = "chunk") -> DataFrame:
     """A row per chunk, with its index from 0 and the number of chunks; other columns are copied. Rows without chunks go."""
-    kept = df.withColumn("_chunks", chunks)
-    return kept.select(*df.columns, F.size("_chunks").alias(total), F.posexplode("_chunks").alias(index, text))
+    rows = df.select(*df.columns, F.posexplode(totalled(chunks, "item")).alias(index, "_one"))
+    return rows.select(*df.columns, F.col("_one.total").alias(total), index, F.col("_one.item").alias(text))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.strings import strip
+from textloom.functions.strings import let, strip
 from textloom.operators import quality, sections, tags, text, urls
-from textloom.operators.chunk import boundary_chunks, gated_chunks
+from textloom.operators.chunk import boundary_chunks, explode_chunks, gated_chunks
 from textloom.rules import DEFAULT_SITE, Site
 
 
@@ -16,9 +16,9 @@ def web_sections(pages: DataFrame, quick_links: DataFrame | None = None, site: S
 
     Pages without success or text give none. A title that is missing from the metadata is "No Title", a time "".
     """
-    ok = pages.where(F.coalesce("success", F.lit(False))).select("url", "html", "metadata", text.clean_web(F.col("markdown"), site).alias("_md"))
-    ok = ok.where(quality.page_long_enough(F.col("_md"))).withColumn("_anchors", sections.header_anchors("html", "url"))
-    rows = sections.section_rows(ok.select("url", "metadata", "_md", "_anchors"), sections.sections(F.col("_md"), F.col("_anchors"), F.col("url")))
+    ok = pages.where(F.coalesce("success", F.lit(False))).select("url", "metadata", "markdown", sections.header_anchors("html", "url").alias("_anchors"))
+    found = let(text.clean_web(F.col("markdown"), site), lambda md: F.when(quality.page_long_enough(md), sections.sections(md, F.col("_anchors"), F.col("url"))))
+    rows = sections.section_rows(ok, found, ["url", "metadata"])
     out = rows.select(
         metadata_value(F.col("metadata"), "title", "No Title").alias("title"), "section_header", F.col("section_content").alias("text"), "url", "anchor_url", "anchor_id", "header_level",
         tags.persona(F.col("url"), site).alias("persona"), F.lit(None).cast("string").alias("faq_category"), "chunk_index", "total_chunks", metadata_value(F.col("metadata"), "scraped_at", "").alias("page_scraped_at"),
@@ -36,8 +36,8 @@ def pdf_chunks(pages: DataFrame, site: Site = DEFAULT_SITE, size: int = 1000, ov
 
     Pages are cleaned and chunked one by one; short ones are left out. A null persona is "all", a null priority "medium".
     """
-    kept = pages.withColumn("_t", text.clean_pdf(F.col("text"), site)).where(quality.pdf_page_long_enough(F.col("_t")))
-    rows = kept.withColumn("_c", boundary_chunks(F.col("_t"), size, overlap)).select(*pages.drop("text").columns, F.size("_c").alias("total_chunks_on_page"), F.posexplode("_c").alias("chunk_index", "text"))
+    found = let(text.clean_pdf(F.col("text"), site), lambda t: F.when(quality.pdf_page_long_enough(t), boundary_chunks(t, size, overlap)))
+    rows = explode_chunks(pages, found, "chunk_index", "total_chunks_on_page", "_piece").drop("text").withColumnRenamed("_piece", "text")
     n = F.col("page_no") + 1
     return rows.select(
         "title", F.concat(F.lit("Page "), n).alias("section_header"), "text", "url", urls.page_link(F.col("url"), n).alias("anchor_url"), F.concat(F.lit("page-"), n).alias("anchor_id"), F.lit(None).cast("string").alias("header_level"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.strings import strip
+from textloom.functions.strings import let, strip, totalled
 from textloom.rules import LEAST_SECTION
 
 ANCHOR = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("anchor_id", "header_text", "anchor_url", "level")]))
@@ -67,6 +67,10 @@ def sections(markdown: Column, anchors: Column, url: Column, least: int = LEAST_
     the first header has a null header. Without anchors, or when nothing is kept, the page is one section as it is. An empty page
     has none. A section's anchor is the first one with its very title, else the page itself.
     """
+    return let(markdown, lambda md: _sections(md, anchors, url, least))
+
+
+def _sections(markdown: Column, anchors: Column, url: Column, least: int) -> Column:
     parts = F.split(markdown, r"(?dU)(?<![^\n])(?=#{1,6}[^\S\n]+[^\n])", -1)
     header = r"(?dU)\A(#{1,6})[^\S\n]+([^\n]+)"
 
@@ -81,10 +85,12 @@ def sections(markdown: Column, anchors: Column, url: Column, least: int = LEAST_
     kept = F.when(F.size(anchors) > 0, F.filter(F.transform(parts, build), lambda s: F.length(s["section_content"]) > least))
     nothing = F.lit(None).cast("string")
     whole = F.array(F.struct(nothing.alias("section_header"), markdown.alias("section_content"), nothing.alias("anchor_id"), url.alias("anchor_url"), nothing.alias("header_level")))
-    return F.when(F.coalesce(F.length(markdown), F.lit(0)) > 0, F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(whole))
+    some = let(kept, lambda k: F.when(F.coalesce(F.size(k), F.lit(0)) > 0, k).otherwise(whole))
+    return F.when(F.coalesce(F.length(markdown), F.lit(0)) > 0, some)
 
 
-def section_rows(pages: DataFrame, found: Column) -> DataFrame:
-    """A row per section with chunk_index and total_chunks."""
-    kept = pages.withColumn("_s", found)
-    return kept.select(*pages.columns, F.size("_s").alias("total_chunks"), F.posexplode("_s").alias("chunk_index", "_one")).select(*pages.columns, "chunk_index", "total_chunks", "_one.*")
+def section_rows(pages: DataFrame, found: Column, columns: list[str] | None = None) -> DataFrame:
+    """A row per section with chunk_index, total_chunks and the given columns of the page, all by default."""
+    columns = pages.columns if columns is None else columns
+    rows = pages.select(*columns, F.posexplode(totalled(found, "section")).alias("chunk_index", "_one"))
+    return rows.select(*columns, "chunk_index", F.col("_one.total").alias("total_chunks"), "_one.section.*")

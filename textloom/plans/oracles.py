@@ -243,9 +243,9 @@ c AS (SELECT count(*) FILTER (coalesce(success, false)) AS crawled, count(*) FIL
 SELECT crawled, failed, sections, round(sections / greatest(crawled, 1), 4) AS per_page, CASE WHEN failed > 0 THEN 1 ELSE 0 END AS exit_status FROM c, n""",
     "pdf_chunk_records": f"""
 WITH RECURSIVE tidy AS ({ORACLES["clean_pdf_text"]}), cleaned AS (SELECT rec_id, clean AS text FROM tidy WHERE length(clean) >= 50),
-{ORACLES["chunk_boundary_rows"].replace("campus_pdfs", "cleaned").replace("WITH RECURSIVE", "", 1).replace("SELECT rec_id, CAST(row_number()", "all_chunks AS (SELECT rec_id, CAST(row_number()")})
+{ORACLES["chunk_boundary_rows"].replace("campus_pdfs", "cleaned").replace("WITH RECURSIVE", "", 1).replace(")\nSELECT rec_id, CAST(row_number()", "),\nall_chunks AS (SELECT rec_id, CAST(row_number()")})
 SELECT p.title, 'Page ' || pdf_page AS section_header, a.chunk AS text, p.url, split_part(split_part(url, '#', 1), '?', 1) || '#page=' || pdf_page AS anchor_url, 'page-' || pdf_page AS anchor_id, 'pdf' AS source_type, pdf_page, total_pages,
-  ix AS chunk_index, CAST(count(*) OVER (PARTITION BY a.rec_id) AS INTEGER) AS total_chunks_on_page, coalesce(persona, 'all') AS persona, coalesce(priority, 'medium') AS priority, pdf_key, pdf_filename FROM all_chunks a JOIN campus_pdfs p USING (rec_id)""".replace("), c AS (SELECT rec_id, step", "), c AS (SELECT rec_id, step"),
+  ix AS chunk_index, CAST(count(*) OVER (PARTITION BY a.rec_id) AS INTEGER) AS total_chunks_on_page, coalesce(persona, 'all') AS persona, coalesce(priority, 'medium') AS priority, pdf_key, pdf_filename FROM all_chunks a JOIN campus_pdfs p USING (rec_id)""",
     "link_targets": f"""
 WITH h AS (SELECT page_id, url, unnest({HREFS}) AS href, generate_subscripts({HREFS}, 1) - 1 AS ix FROM crawl_pages)
 SELECT page_id, CAST(ix AS INTEGER) AS link_ix, split_part({JOINED("url", "href")}, '#', 1) AS target FROM h""",
