@@ -234,7 +234,7 @@ def test_not_prose(spark):
 
 def test_frequent_texts_are_found_too(spark):
     for kind, text in KINDS.items():
-        rows = [(i, None, PROSE * (2 + i % 9), "pdf") for i in range(40)] + [(100 + i, None, text, "pdf") for i in range(40)]
+        rows = [(i, None, PROSE * (1 + i % 3), "pdf") for i in range(40)] + [(100 + i, None, text, "pdf") for i in range(40)]
         df = spark.createDataFrame(rows, "rec_id long, title string, text string, source_type string").withColumn("url", F.lit(None).cast("string"))
         found = quality.not_prose(quality.scored(quality.profile(df, None)))
         assert sorted(map(tuple, found.collect())) == [(100 + i, kind) for i in range(40)]
@@ -248,3 +248,27 @@ def test_ranks_equal_brute_force(spark):
     for r in running(df, "g", ["v", "id"], "w", 6).collect():
         ahead = sum(w for g, v, w, i in data if g == r.g and (v, i) < (r.v, r.id))
         assert (r.before, r.total) == (ahead, sum(w for g, _, w, _ in data if g == r.g))
+
+
+def test_messages_of_any_length():
+    page = "404\n\nThe page you asked for could not be found. It may have been moved or removed. Please check the address and try again. "
+    advice = "If the problem goes on, please contact the help desk with the reference number. Return to the home page or use the search box. The server reported: page not found. "
+    for text in (page, page + advice * 2, page + advice * 30, "Please enable JavaScript in your browser. Scripts are required to view this page. " * 40):
+        assert residue.kinds("x", text) in (["error_page"], ["script_notice"]), text[:80]
+    assert residue.kinds("x", page + PROSE * 3) == []
+
+
+@pytest.mark.parametrize("slot", ["@Model.PageTitle", "«Department Name»", "&lt;building&gt;", "to {1} the"])
+def test_more_slots(slot):
+    assert residue.kinds(None, f"{PROSE} {slot} {PROSE}") == ["placeholder"]
+    assert residue.kinds(None, f"{PROSE} mail@Model.example <td>cell</td> &lt;span&gt; \\d{{2}} {PROSE}") == []
+
+
+def test_filler_in_other_words():
+    assert residue.kinds(None, f"{PROSE}\nTexto de ejemplo para Thoroltmont; aquí va el contenido definitivo. Dummy heading 2. Dummy paragraph for Orluridge, to be written.") == ["filler"]
+    assert residue.kinds(None, "Dolor sit amet consectetur.") == ["filler"]
+
+
+def test_wide_patterns_match_wherever_the_exact_ones_do():
+    assert residue._wide(r"(?<![\w.@/])a(?!\()[\[\s](?:b|\w)\b") == r"a[\[\s\pZ\pC](?:b|[\w\pL\pN])"
+    assert residue._wide(r"x(?=[A-Z _\-]{4,40}\])[^\]\s]y") == r"x[^\]\s\pZ\pC]y"

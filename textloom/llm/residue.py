@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 # Slot grammars by delimiter. NAME is an identifier or a few words that name a value.
 _NAME = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+){0,5}"
 _UPPER = r"[A-Z][A-Z0-9]*(?:[ _\-][A-Z0-9]+){0,4}"
+_TAGS = "abbr|article|aside|audio|body|button|canvas|caption|code|div|em|embed|fieldset|figure|footer|form|head|header|html|iframe|img|input|label|legend|link|main|meta|nav|object|option|pre|script|section|select|small|span|strong|style|sub|sup|svg|table|tbody|textarea|tfoot|thead|title|tr|ul|var|video"
 GRAMMARS = {
     "double_brace": rf"\{{\{{[{{%#]?\s*[#/&]?{_NAME}(?:\s*\|[^{{}}\n]{{0,40}})?\s*\}}\}}",
     "brace_percent": rf"\{{%-?\s*{_NAME}[^%{{}}\n]{{0,40}}%\}}",
@@ -36,23 +37,56 @@ GRAMMARS = {
     "double_tilde": rf"~~\s*[A-Za-z]+_[A-Za-z_]+\s*~~",
     "dunder": r"(?<!\w)__[A-Z][A-Z0-9]*(?:_[A-Z0-9]+){0,4}__(?!\w)",
     "double_bracket": rf"\[\[\s*{_NAME}\s*\]\]",
-    "double_angle": rf"<<\s*{_NAME}\s*>>|«\s*[A-Za-z]+_[A-Za-z_]+\s*»",
+    "double_angle": rf"<<\s*{_NAME}\s*>>|«\s*[A-Za-z]+_[A-Za-z_]+\s*»|«[A-Z][a-z]+(?: [A-Z][a-z]+){{0,3}}»",
     "bracket_request": r"\[\s*(?:(?i:insert|enter|your|add|type|choose|select|name of|todo|tbd|placeholder|fill in)\b)[^\[\]\n]{0,60}\](?!\()",
     "bracket_upper": r"(?<!\!)\[(?=[A-Z _\-]{4,40}\])[A-Z]+(?:[ _\-][A-Z]+)*\](?![\(\[:])",
     "bracket_snake": r"\[[a-z]+(?:_[a-z0-9]+){1,4}\](?!\()",
     "brace_snake": r"(?<![\w$#{%])\{(?:[a-z]+(?:_[a-z0-9]+){1,4}|[a-z]+(?:[A-Z][a-z0-9]+)+|[A-Z]+(?:_[A-Z0-9]+)+)\}(?!\})",
     "angle_request": r"(?:<|&lt;)\s*(?:(?i:insert|enter|your|add)\s+[^<>\n]{1,50}|[^<>\n]{1,50}?\s+(?i:goes? here|here))\s*(?:>|&gt;)",
     "angle_snake": r"(?:<|&lt;)(?:[a-z]+(?:_[a-z0-9]+){1,4}|[A-Z]+(?:_[A-Z0-9]+)+)(?:>|&gt;)",
+    "angle_escaped": rf"&lt;(?!(?:{_TAGS})\b)[a-z]{{3,}}(?: [a-z]+){{0,3}}&gt;",
+    "at_member": r"(?<![\w.@/])@[A-Z][A-Za-z]*(?:\.[A-Z]\w*)+",
+    "brace_number": r"(?<![\w$#{%\\)\]}])\{\d{1,2}\}(?!\})",
     "paren_request": r"\(\s*(?i:enter|insert|add your|fill in|type your|your)\s+[a-z][a-z ]{2,40}\)",
     "todo": r"(?<![\w])(?:TODO|FIXME|TBD|TBA|XXX)\s*:\s*(?i:add|insert|fill in|write|update|replace|complete|set|enter)\b[^\n.]{0,60}",
     "underscore_blank": r"(?i:name|date|phone|email|title|room)\s*:\s*_{4,}",
     "x_fill": r"(?<!\w)X{4,}(?!\w)|(?<!\w)(XX+) ?[a-z][a-z _]{2,30} ?\1(?!\w)",
 }
 SLOT = {k: re.compile(v) for k, v in GRAMMARS.items()}
-# A broad pattern for RE2 over whole batches; what it passes is read again by the grammars. RE2 takes only ASCII for white space.
-PREFILTER = r"\{\{|\{%|\$\{|#\{|<%|%%|%[A-Z]|\*\||!![\s\pZ\pCA-Za-z]|@@|##[ A-Z]|~~|__[A-Z]|\[\[|<<|«|\[[\s\pZ\pC]*(?:[A-Z _\-]{4,40}\]|[a-z]+_|(?i:insert|enter|your|add|type|choose|select|name of|todo|tbd|placeholder|fill in)\b)|\{[a-zA-Z]+[_A-Z]|(?:<|&lt;)[a-zA-Z]+_|(?i:\bhere[\s\pZ\pC]*(?:>|&gt;))|(?:<|&lt;)[\s\pZ\pC]*(?i:insert|enter|your|add)[\s\pZ\pC]|\([\s\pZ\pC]*(?i:enter|insert|add your|fill in|type your|your)[\s\pZ\pC]|\b(?:TODO|FIXME|TBD|TBA|XXX)[\s\pZ\pC]*:|____|XX"
+
+
+_PART = re.compile(r"\\.|\[\^?\]?|\]|\(\?<?[!=]|[()]|.", re.S)
+
+
+def _wide(pattern: str, bounds: bool = False) -> str:
+    """A pattern for RE2 that matches wherever the given one does: without conditions on what is around, white space and word
+    characters of any script. With bounds, which must stand beside ASCII letters of the pattern, word ends stay: RE2 sees more of them."""
+    out, in_class, depth, skip = [], False, 0, 0  # skip: depth of the condition that is left out
+    for part in _PART.findall(pattern):
+        if in_class:
+            part = {r"\s": r"\s\pZ\pC", r"\w": r"\w\pL\pN"}.get(part, part)
+            part, in_class = (r"\[", True) if part[:1] == "[" else (part, part != "]")
+        elif part[:1] == "[":
+            in_class = True
+        elif part[:1] == "(":
+            depth += 1
+            skip = skip or (depth if len(part) > 1 else 0)
+        elif part == ")":
+            depth -= 1
+            if skip > depth:
+                skip = 0
+                continue
+        else:
+            part = {r"\b": r"\b" if bounds else "", r"\s": r"[\s\pZ\pC]", r"\w": r"[\w\pL\pN]", r"\S": "."}.get(part, part)
+        if not skip:
+            out.append(part)
+    return "".join(out)
+
+
+# For RE2 over whole batches: the grammars without their conditions. What it passes is read again by the grammars.
+PREFILTER = "|".join(f"(?:{_wide(g)})" for k, g in GRAMMARS.items() if k != "x_fill") + "|XX"  # x_fill refers back, which RE2 can't
 # Words by which a text explains templates instead of holding one unfilled.
-TUTORIAL = re.compile(r"(?i)\b(?:placeholders?|template (?:language|syntax|tag|engine|file|variable)s?|templat(?:e|ing) tutorial|merge (?:fields?|tags?)|mail merge|variables?|syntax|notation|curly|braces|delimiters?|escaped?|snippet|tutorial|writes? (?:it|them) as|(?:is|are) written|for example, type|expands? to|substitut\w+|interpolat\w+|regular expressions?|source code|programming)\b")
+TUTORIAL = re.compile(r"(?i)\b(?:placeholders?|template (?:language|syntax|tag|engine|file|variable)s?|templat(?:e|ing) tutorial|merge (?:fields?|tags?)|mail merge|variables?|syntax|notation|curly|braces|delimiters?|escaped?|snippet|tutorial|writes? (?:it|them) as|(?:is|are) written|for example, type|expands? to|substitut\w+|interpolat\w+|regular expressions?|source code|programming|set notation)\b")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre)\b.*?</\1>", re.S | re.I)
 _INDENTED = re.compile(r"(?m)^(?: {4}|\t).*[;{}=()].*$")
 
@@ -63,10 +97,14 @@ FILLER_STEMS = (
 ).split()
 _STEM = re.compile(r"(?:%s)[a-z]*\Z" % "|".join(sorted(FILLER_STEMS, key=len, reverse=True)))
 _WORD = re.compile(r"[^\W\d_]+")
-FILLER_PHRASE = re.compile(r"(?i)\b(?:this is (?:some )?(?:sample|dummy|placeholder|filler|example|test) (?:text|copy|content|paragraph)|(?:sample|dummy|placeholder|filler) (?:text|copy|content) (?:goes )?here|(?:your|the) (?:text|copy|content) goes here|replace this (?:text|paragraph|copy)|blah(?:[ ,]+blah){2,})\b")
+FILLER_PHRASE = re.compile(
+    r"(?i)\b(?:this is (?:some )?(?:sample|dummy|placeholder|filler|example|test) (?:text|copy|content|paragraph)|(?:sample|dummy|placeholder|filler) (?:text|copy|content) (?:goes )?here|dummy (?:text|copy|content|heading|paragraph|title|sentence)|(?:sample|filler|placeholder) copy shows"
+    r"|(?:your|the) (?:text|copy|content) goes here|replace (?:it|this|these|them)(?: text| paragraph| copy| words)? (?:with|by) your own|replace this (?:text|paragraph|copy)|blah(?:[ ,]+blah){2,}"
+    r"|texto de (?:ejemplo|relleno|prueba|exemplo|teste)|aqu[ií] (?:va|vai) (?:el|la|o) (?:texto|contenido|conte[uú]do)|texte (?:d'exemple|de remplissage|factice)|faux[ -]texte|blindtext|beispieltext|platzhaltertext)\b"
+)
 # For RE2: the phrases, or two stems one after the other. Most words of dummy copy begin with stems, so that some two are neighbours.
 _STEMS = "|".join(sorted(FILLER_STEMS, key=len, reverse=True))
-FILLER_PREFILTER = FILLER_PHRASE.pattern.replace(r"\b", "") + rf"|(?:^|\PL)(?:{_STEMS})[a-z]*\PL+(?:{_STEMS})"
+FILLER_PREFILTER = _wide(FILLER_PHRASE.pattern) + rf"|(?:^|\PL)(?:{_STEMS})[a-z]*\PL+(?:{_STEMS})"
 
 # Messages of failure and of missing scripts, in several languages.
 ERROR = re.compile(
@@ -90,7 +128,12 @@ SCRIPT = re.compile(
     r"|\bnoscript\b|\bchecking (?:your|the) (?:browser|connection)|verify(?:ing)? (?:that )?you are (?:a )?human|\bjust a moment\b|\bplease wait while\b|\bddos protection\b|^\s*loading\b"
     r"|(?:schalten|aktivieren) sie[^.\n]{0,40}(?:java ?script|skripte?)|java ?script (?:ist |muss )?[^.\n]{0,30}(?:aktivier|ein(?:ge)?schalt)|active[rz]?[^.\n]{0,20}java ?script|(?:habilite|active|permita|ative|habilitar)[^.\n]{0,30}(?:java ?script|scripts?)|(?:activer|activez|autorisez)[^.\n]{0,30}(?:java ?script|scripts?)|java ?script [^.\n]{0,30}(?:d[eé]sactiv|requis|necess[aá]ri|deshabilit|desativ))"
 )
-MESSAGE_LENGTH = 400  # code points of content; a longer text has more than a message
+# Advice, codes and courtesies that come with a message.
+ADVICE = re.compile(
+    r"(?i)\b(?:check (?:the|your)|try (?:again|another|later|a)|go back|return to|back to (?:the )?(?:home|previous|start)|home ?page|start page|reload|refresh|search (?:box|for|the)|use the (?:menu|search)|contact|help ?desk|support|administrator|webmaster|sorry|apologi[sz]e|inconvenience|please|reference(?: id| number)?|request id|incident|ray id|trace|error id|report (?:the|this)|bookmark|address|spelling|sign in|log ?in|browser|seconds?|minutes?|moment|wait|redirected|thank you|we are working|working on it|technical|soon|later"
+    r"|vuelva|int[eé]ntelo|por favor|disculpe|compruebe|bitte|entschuldigen|versuchen|pr[uü]fen|veuillez|d[eé]sol[eé]|r[eé]essayez|tente|verifique|desculpe)\b"
+)
+MESSAGES = tuple(_wide(p.pattern, bounds=True) for p in (ERROR, SCRIPT))  # for RE2
 
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
 _CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:var|let|const|function|def|class|import|return|if|for|while)\b.*[({;:]|^\s*[.#][\w\-]+\s*\{")
@@ -129,48 +172,56 @@ def placeholders(text: str) -> list[str]:
     return found
 
 
+FILLER_LEAST_WORDS = 4  # of a line that is judged by its stems; of 3 words or fewer names may look like stems
+
+
 def filler_share(paragraph: str) -> float:
     words = _WORD.findall(paragraph.lower())
-    return sum(1 for w in words if _STEM.match(w)) / len(words) if len(words) >= 6 else 0.0
+    return sum(1 for w in words if _STEM.match(w)) / len(words) if len(words) >= FILLER_LEAST_WORDS else 0.0
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def is_filler(text: str, share: float = 0.7) -> bool:
-    """Whether a line or a paragraph of the text is dummy copy."""
+    """Whether a line or a paragraph of the text is dummy copy: most of its words, or a third of its sentences by a customary phrase."""
     for paragraph in text.split("\n"):
-        if FILLER_PHRASE.search(paragraph) and not TUTORIAL.search(FILLER_PHRASE.sub("", paragraph)) and len(paragraph) < 200:
-            return True
+        if FILLER_PHRASE.search(paragraph) and not TUTORIAL.search(FILLER_PHRASE.sub("", paragraph)):
+            sentences = [s for s in _SENTENCE.split(paragraph) if s.strip()]
+            if 3 * sum(1 for s in sentences if FILLER_PHRASE.search(s)) >= len(sentences):
+                return True
         if filler_share(paragraph) >= share:
             return True
     return False
 
 
 def message_kind(text: str) -> str | None:
-    """"script_notice" or "error_page" where the text has nothing but such a message."""
-    if len(text) > 4 * MESSAGE_LENGTH:
-        return None
+    """"script_notice" or "error_page" where the text has nothing but such a message.
+
+    A quarter of its sentences are messages, and those that are neither messages nor the advice that goes with them are no more than
+    half. The length of the text does not matter; a text with a heading and more than two other lines is content.
+    """
     content = [x.strip() for x in text.split("\n") if x.strip()]
-    if not content or any(_HEADING.match(x) for x in content) and len(content) > 3:
-        return None
-    plain = " ".join(content)
-    if len(plain) > MESSAGE_LENGTH:
-        return None
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", "\n".join(content)) if s.strip()]
+    sentences = [s for s in _SENTENCE.split("\n".join(content)) if s.strip()]
     script = sum(1 for s in sentences if SCRIPT.search(s))
     error = sum(1 for s in sentences if ERROR.search(s))
     if not script and not error:
         return None
-    if max(script, error) * 3 < len(sentences) and len(plain) > 220:
+    advice = sum(1 for s in sentences if ADVICE.search(s) or SCRIPT.search(s) or ERROR.search(s))
+    if 4 * max(script, error) < len(sentences) or 2 * advice < len(sentences):
+        return None
+    if any(_HEADING.match(x) for x in content) and len(content) > 3 and advice < len(sentences) - 1:
         return None
-    return "script_notice" if script >= error and script else "error_page"
+    return "script_notice" if script >= error else "error_page"
 
 
-def kinds(title: str | None, text: str | None, slot: bool = True, copy: bool = True) -> list[str]:
-    """Kinds of residue of one row, in a fixed order. slot and copy: whether a slot or dummy copy is possible at all."""
+def kinds(title: str | None, text: str | None, slot: bool = True, copy: bool = True, message: bool = True) -> list[str]:
+    """Kinds of residue of one row, in a fixed order. slot, copy and message: whether the row can have such a part at all."""
     title, text = title or "", text or ""
     slots = placeholders(text) if slot else []
     filler = copy and bool(text) and is_filler(text)
-    message = message_kind(text) if text and not slots and not filler else None
-    return [k for k, found in (("placeholder", slots or slot and placeholders(title)), ("filler", filler), (message, message)) if found]
+    only = message_kind(text) if message and text and not slots and not filler else None
+    return [k for k, found in (("placeholder", slots or slot and placeholders(title)), ("filler", filler), (only, only)) if found]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +229,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         title, text = pc.fill_null(batch.column(1), ""), pc.fill_null(batch.column(2), "")
         slot = pc.or_(pc.match_substring_regex(text, PREFILTER), pc.match_substring_regex(title, PREFILTER))
         copy = pc.match_substring_regex(text, FILLER_PREFILTER)
-        either = pc.or_(pc.or_(slot, copy), pc.less_equal(pc.utf8_length(text), 4 * MESSAGE_LENGTH))  # every short text may be a message
-        some = pa.RecordBatch.from_arrays([batch.column(0), title, text, slot, copy], ["id", "title", "text", "slot", "copy"]).filter(either)
+        message = pc.or_(*(pc.match_substring_regex(text, m) for m in MESSAGES))
+        some = pa.RecordBatch.from_arrays([batch.column(0), title, text, slot, copy, message], ["id", "title", "text", "slot", "copy", "message"]).filter(pc.or_(pc.or_(slot, copy), message))
         ids, found = [], []
         for i, *row in zip(*(c.to_pylist() for c in some.columns)):
             for kind in kinds(*row):
