@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.strings import let
 from textloom.session import cut
 
 LEAST_ROWS = 8
 LEAST_LETTERS = 15
+SALTS = 8  # copies of labels that spread the nodes of a large component
 HOT_PARTS = 4096  # a node with a share of rows above 1/HOT_PARTS is hot; there are at most HOT_PARTS times lines-per-row of them
 
 
@@ -32,24 +34,24 @@ def normal(line: Column) -> Column:
 
 
 def occurrences(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", with_line: bool = False) -> DataFrame:
-    """(id, site, line_no, node, check) of each line that counts. node and check are two hashes of site and line.
+    """(id, line_no, node, check, next) of each line that counts. node and check are two hashes of site and line, next is the node
+    of the next line of the row that counts, null for the last one. with_line adds the line.
 
-    with_line adds site, line and `nth`, the number of the line among those of its row that count.
-
-    Lines are normalised inside the array, before it is exploded, so that the optimiser can't repeat the expressions below.
+    Lines are normalised and joined with their successors inside the array, before it is exploded: the optimiser can't repeat the
+    expressions, and no shuffle brings the lines of a row together again.
     """
     short = lambda x: (F.length(x) < LEAST_LETTERS) | x.rlike(r"^\s*#")
-    long = lambda x: x.isNotNull() & (F.length(x) >= LEAST_LETTERS) & ~F.startswith(x, F.lit("#"))
-    lettered = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]+", "")) >= LEAST_LETTERS
-    lines = F.transform(F.split("text", "\n"), lambda x: F.when(~short(x), normal(x)))
+    counts = lambda x: x.isNotNull() & (F.length(x) >= LEAST_LETTERS) & ~F.startswith(x, F.lit("#")) & (F.length(F.regexp_replace(x, r"[^\p{L}]+", "")) >= LEAST_LETTERS)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), F.when(~short(x), normal(x)).alias("line")))
+    counted = F.filter(lines, lambda s: counts(s["line"]))
+    keyed = F.transform(counted, lambda s: F.struct(s["line_no"].alias("line_no"), F.xxhash64("site", s["line"]).alias("node"), F.hash(s["line"], "site").alias("check"), *([s["line"].alias("line")] if with_line else [])))
+
+    def chained(a: Column) -> Column:
+        following = F.concat(F.slice(a["node"], F.lit(2), F.size(a)), F.array(F.lit(None).cast("long")))
+        return F.when(F.size(a) > 0, F.zip_with(a, following, lambda s, n: F.struct(s.alias("s"), n.alias("next"))))
+
     texts = rows.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where("site IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    if with_line:
-        numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda s: long(s["line"]) & lettered(s["line"]))
-        counted = texts.select("id", "site", F.posexplode(numbered).alias("nth", "s")).select("id", "site", "nth", "s.line_no", "s.line")
-    else:
-        counted = texts.select("id", "site", F.posexplode(lines).alias("line_no", "line")).where(long(F.col("line"))).where(lettered(F.col("line")))
-    keys = counted.select("id", "line_no", F.xxhash64("site", "line").alias("node"), F.hash("line", "site").alias("check"), *(["site", "line", "nth"] if with_line else []))
-    return keys
+    return texts.select("id", F.explode(let(keyed, chained)).alias("o")).select("id", "o.s.*", "o.next")
 
 
 def nodes(found: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
@@ -68,47 +70,51 @@ def kept_occurrences(found: DataFrame, kept: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def repeated_lines(rows: DataFrame, least: int = LEAST_ROWS, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", with_line: bool = False) -> DataFrame:
-    """(id, line_no, node, check, support) of each occurrence of a kept node, with site, line and nth if asked for.
+def edges(repeated: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """(u, v, weight): different kept nodes that follow each other, as counted lines, in `least` rows."""
+    per_row = repeated.where("next <> node").groupBy("node", "next", "id").agg(F.lit(1).alias("one"))
+    return per_row.groupBy(F.col("node").alias("u"), F.col("next").alias("v")).agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
-    The union of all boilerplate blocks is the set of all kept nodes, so deleting needs no block labels; blocks() has them.
-    Texts are read once; the keys of their lines are written to the shared folder.
-    """
-    found = cut(occurrences(rows, id_col, text_col, url_col, with_line))
-    kept = cut(nodes(found, least))
-    return kept_occurrences(found, kept, found.select("id").agg(F.approx_count_distinct("id")).first()[0])
 
+def components(linked: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, block): the smallest node of each node's connected component over edges (u, v).
 
-def blocks(repeated: DataFrame, least: int = LEAST_ROWS, rounds: int = 40) -> DataFrame:
-    """(node, check, block, support, line): kept nodes with the smallest node of their connected component.
-
-    Edges are kept nodes on consecutive counted lines of a row, with `least` rows. Labels spread to neighbours, then jump to
-    the label of their label, until nothing changes; each round cuts its lineage in the shared folder.
+    Labels spread to neighbours, then jump to the label of their label, until nothing changes; each round cuts its lineage in the
+    shared folder. Labels that are roots need no jump, and the others are salted, so that the label of a giant component is no hot key.
     """
-    counted = repeated.select("id", "nth", "node", "check", "line", "support")
-    follow = counted.alias("a").join(counted.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.nth") + 1 == F.col("b.nth")))
-    edges = (
-        follow.select(F.col("a.id").alias("id"), F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        .where("u <> v")
-        .groupBy("u", "v")
-        .agg(F.count_distinct("id").alias("weight"))
-        .where(F.col("weight") >= least)
-    )
-    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    plain = cut(counted.groupBy("node", "check").agg(F.min("line").alias("line"), F.first("support").alias("support")))
-    labels = cut(plain.select("node", F.col("node").alias("block")).distinct())
+    both = cut(linked.select("u", "v").unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut(both.select(F.col("u").alias("node")).distinct().withColumn("block", F.col("node")))
+    if labels.isEmpty():
+        return labels
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("block").alias("seen"))
-        stepped = labels.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", F.col("block").alias("was"), F.least("block", F.coalesce("seen", "block")).alias("block"))
-        up = labels.select(F.col("node").alias("block"), F.col("block").alias("far"))
-        jumped = stepped.join(up, "block", "left").select("node", "was", F.least("block", F.coalesce("far", "block")).alias("block"))
+        near = both.join(labels.select(F.col("node").alias("v"), "block"), "v").groupBy(F.col("u").alias("node")).agg(F.min("block").alias("seen"))
+        stepped = labels.join(near, "node").select("node", F.col("block").alias("was"), F.least("block", "seen").alias("block"), F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
+        up = labels.where("node <> block").select(F.col("node").alias("block"), F.col("block").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        jumped = stepped.join(up, ["block", "salt"], "left").select("node", "was", F.least("block", F.coalesce("far", "block")).alias("block"))
         done = cut(jumped)
         labels = done.select("node", "block")
         if done.where("was <> block").isEmpty():
-            break
-    else:
-        raise RuntimeError("blocks did not settle; raise rounds")
-    return plain.join(labels, "node")
+            return labels
+    raise RuntimeError("blocks did not settle; raise rounds")
+
+
+def repeated_lines(rows: DataFrame, least: int = LEAST_ROWS, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", with_line: bool = False) -> DataFrame:
+    """(id, line_no, node, check, next, support, block) of each occurrence of a line of a boilerplate block.
+
+    The graph has the kept nodes and the kept edges between them; its components are the blocks, named by their smallest node. A
+    kept node without kept edges is a block of its own. Texts are read once; the keys of their lines are written to the shared folder.
+    """
+    found = cut(occurrences(rows, id_col, text_col, url_col, with_line))
+    kept = cut(nodes(found, least))
+    n = found.select("id").agg(F.approx_count_distinct("id")).first()[0]
+    linked = edges(kept_occurrences(found, kept, n), least)
+    graph = cut(kept.join(components(linked), "node", "left").withColumn("block", F.coalesce("block", "node")))
+    return kept_occurrences(found, graph, n)
+
+
+def blocks(repeated: DataFrame) -> DataFrame:
+    """(node, check, block, support, line): the lines of each block, from repeated_lines(with_line=True)."""
+    return repeated.groupBy("node", "check").agg(F.min("line").alias("line"), F.first("support").alias("support"), F.first("block").alias("block"))
 
 
 def without_repeated(rows: DataFrame, repeated: DataFrame, id_col: str = "rec_id", text_col: str = "text") -> DataFrame:

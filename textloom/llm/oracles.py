@@ -27,7 +27,7 @@ SELECT least(p.rec_id, q.rec_id) AS rec_a, greatest(p.rec_id, q.rec_id) AS rec_b
 UNION ALL SELECT p.rec_id AS rec_a, q.rec_id AS rec_b FROM member p JOIN member q ON p.cid = q.cid AND p.rec_id < q.rec_id
 """
 
-P3_FOUND = rf"""
+_P3 = rf"""
 WITH raw_lines AS (
   SELECT rec_id, {_HOST} AS site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM combined_campus_data WHERE text IS NOT NULL AND url IS NOT NULL
@@ -37,8 +37,14 @@ WITH raw_lines AS (
   SELECT * FROM lines WHERE line NOT LIKE '#%' AND length(regexp_replace(line, '[^\p{{L}}]', '', 'g')) >= 15
 ), kept AS (
   SELECT site, line FROM counted GROUP BY site, line HAVING count(DISTINCT rec_id) >= 8
-)
-SELECT rec_id, line_no FROM counted JOIN kept USING (site, line)
+), found AS (SELECT rec_id, line_no FROM counted JOIN kept USING (site, line))
+"""
+P3_FOUND = _P3 + "SELECT rec_id, line_no FROM found"
+P3_CLEAN = _P3 + """, own AS (
+  SELECT rec_id, unnest(string_split(text, chr(10))) AS raw, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM combined_campus_data WHERE text IS NOT NULL
+), left_over AS (SELECT rec_id, string_agg(raw, chr(10) ORDER BY line_no) AS t FROM own ANTI JOIN found USING (rec_id, line_no) GROUP BY rec_id)
+SELECT c.rec_id, CASE WHEN c.text IS NOT NULL THEN coalesce(l.t, '') END AS clean_text, CAST(length(c.text) - length(CASE WHEN c.text IS NOT NULL THEN coalesce(l.t, '') END) AS INTEGER) AS removed_chars
+FROM combined_campus_data c LEFT JOIN left_over l USING (rec_id)
 """
 
 P6_FOUND = """
@@ -56,4 +62,4 @@ WITH words AS (
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i USING (run) WHERE d.side = 'd' AND i.side = 'i'
 """
 
-ORACLES: dict[str, str] = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+ORACLES: dict[str, str] = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_clean": P3_CLEAN, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
