@@ -21,10 +21,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import boosting
+from textloom.llm import boosting, tokens
 from textloom.llm.languages import OF_WORD
 
 MAX_TRAINING_ROWS = 2500
@@ -66,32 +67,110 @@ N_BASE = len(BASE_NAMES)
 COL = {n: i for i, n in enumerate(BASE_NAMES)}
 
 
-def _line_features(line: str, host: str) -> list[float]:
-    s = line.strip()
-    words = WORD.findall(s)
-    low = WORD.findall(s.lower())
-    n = len(words) or 1
-    hits = [0] * len(NAMES)
-    function = sum(map(OF_WORD.__contains__, low))
-    for w in low:
-        if bits := _BIT.get(w):
-            for k in range(len(NAMES)):
-                if bits >> k & 1:
-                    hits[k] += 1
-    bullet = BULLET.match(s)
-    heading = HEADING.match(s)
-    links = LINK.findall(s) if "](" in s else ()
-    own = sum(1 for _, to in links if to[:1] in "#/." or (host and host in to))
-    chars = len(s)
-    digits = sum(map(s.count, "0123456789"))
-    return [
-        len(words), chars, len(line) - len(line.lstrip()), (1 if bullet.group(1) else 2 if bullet.group(2) else 3) if bullet else 0, len(heading.group(1)) if heading else 0,
-        1.0 if STOP.search(s[-8:]) else 0.0, sum(len(a) + len(b) + 4 for a, b in links) / chars if links else 0.0, len(links), function / n, function, sum(1 for w in words if w[:1].isupper()) / n,
-        1.0 if s.isupper() else 0.0, digits / (chars or 1), s.count(" | "), s.count(" · ") + s.count(" • "), s.count(" > ") + s.count(" » "), s.count(" / "),
-        0 if s.isascii() else sum(1 for c in s if c in MARKS), 1.0 if digits and PHONE.search(s) else 0.0, 1.0 if "@" in s and EMAIL.search(s) else 0.0, 1.0 if digits and DATE.search(s) else 0.0, 1.0 if digits and YEAR.search(s) else 0.0,
-        1.0 if s.endswith(")") else 0.0, s.count(","), s.count("  "), s.count("\t"), s.count(":"), 1.0 if s[:1] == "|" else 0.0, 1.0 if s[:1] == "<" else 0.0, own, 1.0 if s.startswith("**") and s.endswith("**") else 0.0,
-        1.0 if s and not words else 0.0, *hits,
+class Vocabulary:
+    """Numbers of given words, found by their hashes; 0 for all others."""
+
+    def __init__(self, numbers: dict[str, int]):
+        names = list(numbers)
+        h = tokens.Words(pa.array(names, pa.string())).hash
+        if len(h) != len(names):
+            raise ValueError("each entry must be one word")
+        order = np.argsort(h)
+        self.hash, self.number = h[order], np.array([numbers[n] for n in names], np.int64)[order]
+        self.near = np.zeros(1 << 16, bool)  # most words are dismissed by their first bits
+        self.near[(h >> np.uint64(48)).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        at = np.flatnonzero(self.near[(h >> np.uint64(48)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+        out[at] = np.where(self.hash[place] == h[at], self.number[place], 0)
+        return out
+
+
+_SEVERAL = [w for w in {*OF_WORD, *_BIT} if len(WORD.findall(w)) > 1]  # "a-z" is two words and never one of a line
+_FUNCTION = 1 << len(NAMES)
+_LONG_FUNCTION = _FUNCTION << 1  # of more than one letter
+LINE_WORDS = Vocabulary({w: _BIT.get(w, 0) | (_FUNCTION if w in OF_WORD else 0) | (_LONG_FUNCTION if w in OF_WORD and len(w) > 1 else 0) for w in {*OF_WORD, *_BIT} if w not in _SEVERAL})
+
+
+def _per_line(words: tokens.Words, values: np.ndarray) -> np.ndarray:
+    """Sums of a value per word over the words of each line."""
+    sums = np.concatenate(([0], np.cumsum(values)))
+    return (sums[words.first[1:]] - sums[words.first[:-1]]).astype(np.float64)
+
+
+def _on(lines: pa.Array, some: np.ndarray, count) -> np.ndarray:
+    """count of the lines that `some` picks, 0 for the others."""
+    out = np.zeros(len(lines))
+    at = np.flatnonzero(some)
+    if len(at):
+        out[at] = np.asarray(count(lines.take(pa.array(at))).to_numpy(zero_copy_only=False), np.float64)
+    return out
+
+
+def byte_counts(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How many bytes of each row a mask of byte values picks."""
+    sums = np.concatenate(([0], np.cumsum(wanted[data])))
+    return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.float64)
+
+
+DIGITS = np.zeros(256, bool)
+DIGITS[48:58] = True
+_SPACE = r"[\s\pZ\x0b\x1c-\x1f\x{85}]"
+
+
+def line_features(lines: pa.Array, hosts: list[str]) -> tuple[np.ndarray, tokens.Words, np.ndarray, pa.Array]:
+    """(features by BASE_NAMES, words, word numbers by LINE_WORDS, stripped lines) of non-blank lines, whole batches at a time."""
+    number = lambda x: np.asarray(x.to_numpy(zero_copy_only=False), np.float64)
+    left = pc.replace_substring_regex(lines, rf"^{_SPACE}+", "") if len(lines) else lines
+    s = pc.replace_substring_regex(left, rf"{_SPACE}+$", "")
+    words = tokens.Words(s)
+    n = words.count.astype(np.float64)
+    known = LINE_WORDS(words.hash)
+    data, offsets = tokens.raw(s)
+    chars = number(pc.utf8_length(s))
+    upper = np.zeros(len(words.hash), bool)  # words that begin with a capital: their bytes differ from the lower-cased ones
+    cased, cased_offsets = tokens.raw(pc.binary_join_element_wise(pc.replace_substring_regex(s, r"[^\p{L}\p{N}\x00-\x7F]", " "), "", "\n"))
+    fits = np.flatnonzero((np.diff(cased_offsets) == np.diff(words.offsets))[words.doc])  # lower-casing has changed no length
+    at = words.start[fits]
+    there = cased_offsets[words.doc[fits]] + at - words.offsets[words.doc[fits]]
+    upper[fits] = cased[there] != words.data[at]
+    wide = fits[words.data[at] >= 0xC3]
+    upper[wide] |= cased[cased_offsets[words.doc[wide]] + words.start[wide] - words.offsets[words.doc[wide]] + 1] != words.data[words.start[wide] + 1]
+    digits = byte_counts(data, offsets, DIGITS)
+    ascii_ = np.asarray(pc.string_is_ascii(s).to_numpy(zero_copy_only=False), bool)
+    count = lambda what: number(pc.count_substring(s, what))
+    starts = lambda what: number(pc.starts_with(s, what))
+    match = lambda p: (lambda x: pc.match_substring_regex(x, p))
+    first = data[np.minimum(offsets[:-1], max(len(data) - 1, 0))] if len(data) else np.zeros(len(s), np.uint8)
+    marked = ~(((first >= 65) & (first <= 90)) | ((first >= 97) & (first <= 122)))
+    bullet = _on(s, marked, match(rf"^[\-*•‣·▪]{_SPACE}"))
+    bullet += 2 * _on(s, (bullet == 0), match(rf"^(?:[0-9]{{1,3}}[.)]|\([a-z0-9]{{1,3}}\)|[a-z][.)]){_SPACE}"))
+    bullet += 3 * _on(s, marked & (bullet == 0), match(rf"^[☐☑✓✔]{_SPACE}"))
+    sharp = first == 35
+    heading = np.zeros(len(s))
+    for k in range(1, 7) if sharp.any() else ():
+        heading += k * _on(s, sharp, match(rf"^#{{{k}}}{_SPACE}"))
+    stop = number(pc.match_substring_regex(pc.utf8_slice_codeunits(s, -8, 1 << 30), "[.!?…][\"'”’)\\]]*$"))
+    links, link_chars, own = np.zeros(len(s)), np.zeros(len(s)), np.zeros(len(s))
+    for i in np.flatnonzero(count("](") > 0).tolist():
+        found = LINK.findall(s[i].as_py())
+        links[i], link_chars[i] = len(found), sum(len(a) + len(b) + 4 for a, b in found)
+        own[i] = sum(1 for _, to in found if to[:1] in "#/." or (hosts[i] and hosts[i] in to))
+    function = _per_line(words, (known & _FUNCTION) > 0)
+    some = np.maximum(n, 1)
+    groups = [_per_line(words, (known >> k) & 1) for k in range(len(NAMES))]
+    pairs = lambda a, b: count(a) + _on(s, ~ascii_, lambda x: pc.count_substring(x, b))
+    odd = lambda a, b: _on(s, ~ascii_, lambda x: pc.add(pc.count_substring(x, a), pc.count_substring(x, b)))
+    columns = [
+        n, chars, number(pc.utf8_length(lines)) - number(pc.utf8_length(left)), bullet, heading, stop, link_chars / np.maximum(chars, 1), links, function / some, function, _per_line(words, upper) / some,
+        number(pc.utf8_is_upper(s)), digits / np.maximum(chars, 1), count(" | "), odd(" · ", " • "), pairs(" > ", " » "), count(" / "), _on(s, ~ascii_, lambda x: pc.count_substring_regex(x, f"[{MARKS}]")),
+        _on(s, (digits > 0), lambda x: pc.match_substring_regex(x, PHONE.pattern, ignore_case=True)), _on(s, count("@") > 0, match(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")),
+        _on(s, digits > 0, lambda x: pc.match_substring_regex(x, DATE.pattern, ignore_case=True)), _on(s, digits > 0, match(YEAR.pattern)),
+        number(pc.ends_with(s, ")")), count(","), count("  "), count("\t"), count(":"), starts("|"), starts("<"), own, starts("**") * number(pc.ends_with(s, "**")), (n == 0).astype(np.float64), *groups,
     ]
+    return np.column_stack(columns), words, known, s
 
 
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/@?#]*@)?(?:www\.)?([^/:?#\s]+)", re.I)
@@ -102,30 +181,43 @@ def host_of(url: str | None) -> str:
     return m.group(1) if m else ""
 
 
+def split_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, line number, line) of the non-blank lines of texts."""
+    array = pa.array(texts, pa.string())
+    parts = pc.split_pattern(pc.fill_null(array, ""), "\n")
+    offsets = parts.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    lines = parts.flatten()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    number = np.arange(len(lines)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    some = np.asarray(pc.match_substring_regex(lines, r"[^\s\pZ\x0b\x1c-\x1f\x{85}]").to_numpy(zero_copy_only=False), bool) if len(lines) else np.zeros(0, bool)
+    return row[some], number[some], lines.filter(pa.array(some))
+
+
 @dataclass
 class Lines:
-    """Non-blank lines of a batch of rows: row, line number, base features, block."""
+    """Non-blank lines of a batch of rows: row, line number, base features, block, texts, words and their numbers."""
 
     row: np.ndarray
     number: np.ndarray
     base: np.ndarray
     block: np.ndarray
-    text: list[str]
+    text: pa.Array
+    words: tokens.Words
+    known: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str | None], urls: list[str | None]) -> Lines:
-        row, number, base, kept = [], [], [], []
-        for i, (text, url) in enumerate(zip(texts, urls)):
-            host = host_of(url)
-            for k, line in enumerate((text or "").split("\n")):
-                if line.strip():
-                    row.append(i)
-                    number.append(k)
-                    base.append(_line_features(line, host))
-                    kept.append(line)
-        r = np.array(row, np.int64)
-        b = np.array(base, np.float64).reshape(len(row), N_BASE)
-        return cls(r, np.array(number, np.int64), b, _blocks(r, b), kept)
+        row, number, lines = split_lines(texts)
+        hosts = [host_of(u) for u in urls]
+        base, words, known, stripped = line_features(lines, [hosts[r] for r in row.tolist()])
+        return cls(row, number, base, _blocks(row, base), stripped, words, known)
+
+
+    def some(self, keep: np.ndarray) -> Lines:
+        """The lines of whole rows that `keep` picks."""
+        row, base = self.row[keep], self.base[keep]
+        return Lines(row, self.number[keep], base, _blocks(row, base), self.text.filter(pa.array(keep)), self.words, self.known)
 
 
 def _blocks(row: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -207,8 +299,8 @@ def seeds(lines: Lines) -> np.ndarray:
     label[(col("heading") > 0) & (col("sidebar") < 2)] = 0
     label[(col("function_words") >= 4) & (col("words") >= 9) & (col("stop") > 0)] = 0
     label[(col("bar_first") > 0) | (col("tag") > 0) | (col("tabs") > 1)] = 0
-    for i, text in enumerate(lines.text):
-        s = SPACES.sub(" ", text.strip()).lower()
+    for i, text in enumerate(lines.text.to_pylist()):
+        s = SPACES.sub(" ", text).lower()
         if SEEDS.match(s):
             label[i] = 1
     seps = np.maximum.reduce([col("bars"), col("dots"), col("arrows"), col("wide_gaps") * (col("caps") > 0)])

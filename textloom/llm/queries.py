@@ -45,7 +45,7 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.profile(_table(spark, sf, "combined_campus_data"), _body_model(spark, sf))
+    return quality.scored(cut(quality.profile(_table(spark, sf, "combined_campus_data"), _body_model(spark, sf))))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +55,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics and outlier score of each row."""
-    return quality.scored(cut(_profile(spark, sf))).drop("guess", "share").withColumnRenamed("id", "rec_id")
+    return _profile(spark, sf).drop("text_hash").withColumnRenamed("id", "rec_id")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

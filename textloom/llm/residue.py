@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -224,19 +225,23 @@ def kinds(title: str | None, text: str | None, slot: bool = True, copy: bool = T
     return [k for k, found in (("placeholder", slots or slot and placeholders(title)), ("filler", filler), (only, only)) if found]
 
 
+def cases(titles: pa.Array, texts: pa.Array) -> list[list[str]]:
+    """Kinds of residue of each row; the rules read the rows that the patterns for whole batches pass."""
+    title, text = pc.fill_null(titles, ""), pc.fill_null(texts, "")
+    slot = pc.or_(pc.match_substring_regex(text, PREFILTER), pc.match_substring_regex(title, PREFILTER))
+    copy = pc.match_substring_regex(text, FILLER_PREFILTER)
+    message = pc.or_(*(pc.match_substring_regex(text, m) for m in MESSAGES))
+    out: list[list[str]] = [[]] * len(title)
+    for i in np.flatnonzero(pc.or_(pc.or_(slot, copy), message).to_numpy(zero_copy_only=False)).tolist():
+        out[i] = kinds(title[i].as_py(), text[i].as_py(), slot[i].as_py(), copy[i].as_py(), message[i].as_py())
+    return out
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        title, text = pc.fill_null(batch.column(1), ""), pc.fill_null(batch.column(2), "")
-        slot = pc.or_(pc.match_substring_regex(text, PREFILTER), pc.match_substring_regex(title, PREFILTER))
-        copy = pc.match_substring_regex(text, FILLER_PREFILTER)
-        message = pc.or_(*(pc.match_substring_regex(text, m) for m in MESSAGES))
-        some = pa.RecordBatch.from_arrays([batch.column(0), title, text, slot, copy, message], ["id", "title", "text", "slot", "copy", "message"]).filter(pc.or_(pc.or_(slot, copy), message))
-        ids, found = [], []
-        for i, *row in zip(*(c.to_pylist() for c in some.columns)):
-            for kind in kinds(*row):
-                ids.append(i)
-                found.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["id", "kind"])
+        found = cases(batch.column(1), batch.column(2))
+        ids = batch.column(0).take(pa.array([i for i, ks in enumerate(found) for _ in ks], pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([k for ks in found for k in ks], pa.string())], ["id", "kind"])
 
 
 def residue(rows: DataFrame, id_col: str = "rec_id", title_col: str = "title", text_col: str = "text") -> DataFrame:
