@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from textloom.llm.ranks import running
 from textloom.session import cut
 
-TOKENIZER = os.environ.get("TEXTLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+TOKENIZER = os.environ.get("TEXTLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")  # a rank file; the variable names another
 # Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ROUNDS = 6
+MOST_ROUNDS = 100  # of the inclusion odds; each round but the last makes at least one more document of some source certain
 _encoders: dict[str, object] = {}
 
 
@@ -86,7 +86,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
     rows = plan(sized, targets, total)
     for r in rows:
         r["c"] = 0.0
-    for k in range(ROUNDS):  # inclusion min(1, c * tokens), with c so that the expected tokens are the rest
+    for _ in range(MOST_ROUNDS):  # inclusion min(1, c * tokens), with c so that the expected tokens are the rest
         c = _per_source(rows, "c", "double")
         certain = F.col("tokens") * c >= 1
         sums = {
@@ -101,6 +101,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
             r["c"] = max(0.0, (r["rest"] - s["sure"]) / s["squares"]) if s and s["squares"] else (1e18 if s and r["rest"] else 0.0)
         if all(abs(a - r["c"]) <= 1e-12 * max(a, r["c"]) for a, r in zip(before, rows)):
             break
+    else:
+        raise RuntimeError("inclusion odds did not settle; raise MOST_ROUNDS")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") + 0.5) / float(1 << 53)
     inclusion = F.least(F.lit(1.0), F.col("tokens") * _per_source(rows, "c", "double"))
     odds = F.when(inclusion >= 1, F.lit(0.0)).when(inclusion <= 0, F.lit(float("inf"))).otherwise((u / (1 - u)) / (inclusion / (1 - inclusion)))
@@ -108,7 +110,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
     chosen = (F.col("before") + F.col("tokens") / 2 <= _per_source(rows, "rest", "long")).cast("int")
     mix = cut(ordered.withColumn("copies", _per_source(rows, "copies", "int") + chosen).where("copies > 0").select("id", "source", "tokens", "copies"))
     used = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_docs"), F.max("copies").alias("most_copies"))
-    goals = spark.createDataFrame([(r["source"], r["share"], r["repeats"], r["docs"], r["have"]) for r in rows], "source string, target_share double, max_repeats int, docs long, tokens long")
+    scarce = min((r for r in rows if r["have"] and r["repeats"]), key=lambda r: r["have"] * r["repeats"] / r["share"], default=None) if total is None else None
+    goals = spark.createDataFrame([(r["source"], r["share"], r["repeats"], r["docs"], r["have"], r is scarce) for r in rows], "source string, target_share double, max_repeats int, docs long, tokens long, decides_total boolean")
     whole = mix.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0
     report = (
         goals.join(used, "source", "left")

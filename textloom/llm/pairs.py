@@ -31,22 +31,91 @@ STAND_INS = {
 LABEL = re.compile(r"(?i)^\s*(?:(?:the )?(?:answer|response|reply|question|respuesta|pregunta|thoughts?|reasoning|q|a)\s*[:.\-]\s*)+")
 LABEL_WORDS = {"q", "a", "answer", "question", "response", "pregunta", "respuesta", "thought", "the", "you", "asked", "is", "reply"}
 
-# Refusal templates.
-_DO = r"(?:answer|help|assist|respond|reply|comply|provide|share|give|discuss|disclose|comment|say|tell|complete|fulfil?l|process|support|handle|address|offer|advise|do that|do this|continue|engage|speak)\w*"
-_NOT = r"(?:can ?not|can ?['’]?t|could ?n['’]?t|could not|am not able to|['’]m not able to|are not able to|am unable to|['’]m unable to|are unable to|['’]re unable to|won['’]?t(?: be able to)?|will not(?: be able to)?|am not (?:allowed|permitted|in a position) to|['’]m not (?:allowed|permitted|in a position) to|must (?:respectfully )?(?:decline|refuse)(?: to)?|have to (?:decline|refuse)(?: to)?|(?:would|['’]d) (?:rather|prefer) not(?: to)?|decline to|refuse to|do not (?:want|wish) to|don['’]t (?:want|wish) to)"
-REFUSAL = re.compile(
-    rf"(?i)\b(?:i|we)\s?{_NOT}\s+(?:\w+\s+){{0,3}}?{_DO}"
-    rf"|\b(?:i|we)\s+(?:must|have to|need to|will|would like to)\s+(?:\w+\s+)?(?:decline|refuse|pass)\b"
-    r"|\b(?:i|we)\s?(?:do not|don['’]t|am not|['’]m not)\s+(?:feel\s+)?comfortable\b"
-    r"|\b(?:i|we)\s+(?:do not|don['’]t|did not|didn['’]t|cannot|can['’]t)\s+(?:currently\s+)?(?:have|find|know|possess|locate|see)\s+(?:\w+\s+){0,3}?(?:information|answer|details?|access|data|knowledge|that|enough)\b"
-    rf"|\bit\s?(?:is not|isn['’]t|['’]s not|is im)\s?possible for (?:me|us)\b|\b(?:not|isn['’]t) (?:something|a (?:question|request|topic)) (?:that )?(?:i|we) (?:can|am|are|may|could)\b"
-    r"|\b(?:not enough|insufficient|no) (?:context|information|details?)\b[^.\n]{0,30}\b(?:for (?:me|us)|to (?:answer|reply|respond|help))\b"
-    r"|\bas an? (?:ai|artificial|language model|assistant|automated|virtual)\b|\bagainst (?:my|our) (?:policy|guidelines|rules|programming)\b|\b(?:outside|beyond) (?:my|our|the) (?:scope|ability|abilities|capabilit\w+|remit|knowledge)\b"
-    rf"|\b(?:i|we)\s?(?:['’]m|am|are|['’]re)\s+(?:sorry|afraid)[^.\n]{{0,30}}\b(?:{_NOT})\s+(?:\w+\s+){{0,3}}?{_DO}"
-    rf"|\bunable to (?:{_DO}) (?:this|that|your|the|such|any)\s?(?:question|request|query|inquiry)?"
-    r"|\b(?:this|that|your) (?:question|request) (?:cannot|can['’]t|can not|will not|won['’]t|may not) be (?:answered|fulfilled|processed|completed)"
-    r"|\b(?:no puedo|no podemos|no me es posible|no es posible para m[ií]|no estoy (?:autorizad\w|en condiciones)|no soy capaz)\b[^.\n]{0,30}\b(?:responder|contestar|ayudar|asistir|proporcionar|dar|facilitar|compartir|atender)\w*|\bno (?:dispongo|dispone?mos|tengo|tenemos) (?:de )?(?:esa|la|esta|suficiente|ninguna|acceso)\b|\bdebo (?:negarme|rechazar|declinar|abstenerme)\b|\bme niego a\b|\bprefiero no (?:responder|contestar)\b"
-)
+# What templates are made of. A word that ends in * stands for all that begin so.
+CLASSES = {
+    "I": "i we",
+    "ME": "me us",
+    "MY": "my our the",
+    "DO": "answer* help* assist* respond* reply* comply* provid* share* give* discuss* disclos* comment* say* tell* complet* fulfil* process* support* handl* address* offer* advis* do continu* engag* speak*",
+    "SORRY": "sorry afraid",
+    "HAVE": "have find know possess locate see",
+    "INFO": "information answer* detail* access data knowledge that enough context",
+    "THIS": "this that your the such any",
+    "QUESTION": "question* request* query quer* inquir* topic",
+    "DECLINE": "decline refuse pass",
+    "AI": "ai artificial language assistant automated virtual",
+    "RULES": "policy policies guidelines rules programming",
+    "SCOPE": "scope ability abilities capabilit* remit knowledge",
+    "HACER": "responder* contestar* ayudar* asistir* proporcionar* dar* facilitar* compartir* atender*",
+    "DISPONER": "dispongo disponemos tengo tenemos",
+    "ESA": "esa la esta suficiente ninguna acceso",
+    "NEGARME": "negarme rechazar declinar abstenerme",
+    "HECHO": "answered fulfilled processed completed",
+}
+# Ways to say no, each read as the one word NOT (or NO PUEDO) before templates are aligned.
+SAY_NOT = (
+    "cannot|can not|can t|cant|could not|couldn t|couldnt|am not able to|m not able to|are not able to|re not able to|am unable to|m unable to|are unable to|re unable to|will not be able to|won t be able to|will not|won t|wont"
+    "|am not allowed to|m not allowed to|am not permitted to|m not permitted to|am not in a position to|m not in a position to|would rather not|d rather not|would prefer not to|would prefer not|d prefer not to|d prefer not|decline to|refuse to"
+    "|must respectfully decline to|must decline to|must refuse to|have to decline to|have to refuse to|do not want to|don t want to|do not wish to|don t wish to"
+).split("|")
+SAY_NO_PUEDO = "no puedo|no podemos|no me es posible|no es posible para mi|no es posible para mí|no estoy en condiciones de|no estoy autorizado a|no estoy autorizada a|no soy capaz de".split("|")
+# Refusal templates. Words that a class above names stand for it; up to GAP words may lie between two of them.
+TEMPLATES = [
+    "I NOT DO", "I must DECLINE", "I have to DECLINE", "I need to DECLINE", "I will DECLINE", "I would like to DECLINE", "I am not comfortable", "I m not comfortable", "I do not feel comfortable", "I don t feel comfortable", "I do not HAVE INFO", "I don t HAVE INFO", "I did not HAVE INFO",
+    "I didn t HAVE INFO", "I NOT HAVE INFO", "it is not possible for ME", "it isn t possible for ME", "it s not possible for ME", "it is impossible for ME", "not something that I can", "not something I can", "not a QUESTION I can", "not a QUESTION that I can", "not a QUESTION I am", "not enough INFO for ME", "not enough INFO to DO",
+    "insufficient INFO for ME", "insufficient INFO to DO", "no INFO for ME", "no INFO to DO", "as an AI", "as a AI model", "against my RULES", "against our RULES", "outside MY SCOPE", "beyond MY SCOPE", "I am SORRY NOT DO", "I m SORRY NOT DO", "unable to DO THIS QUESTION", "unable to DO THIS", "THIS QUESTION NOT be HECHO",
+    "THIS QUESTION may not be HECHO", "NOPUEDO HACER", "no DISPONER de ESA", "no DISPONER ESA", "debo NEGARME", "me niego a", "prefiero no HACER",
+]
+GAP = 3
+
+
+def _compiled() -> list[list[tuple[set[str], tuple[str, ...]]]]:
+    out = []
+    for template in TEMPLATES:
+        parts = []
+        for part in template.split():
+            options = CLASSES.get(part, part).split()
+            parts.append(({w for w in options if not w.endswith("*")}, tuple(w[:-1] for w in options if w.endswith("*"))))
+        out.append(parts)
+    return out
+
+
+_COMPILED = _compiled()
+# A word of each template that few texts have: templates whose rare word is missing are not aligned.
+_RARE = [max((w for part in t.split() for w in ([part] if part not in CLASSES else [])), key=lambda w: (w in ("NOT", "NOPUEDO"), len(w)), default=None) for t in TEMPLATES]
+_SAYINGS = re.compile(r"(?<!\S)(?:(" + "|".join(sorted(SAY_NOT, key=len, reverse=True)) + r")|(" + "|".join(sorted(SAY_NO_PUEDO, key=len, reverse=True)) + r"))(?!\S)")
+
+
+def align(template: list[tuple[set[str], tuple[str, ...]]], text: list[str]) -> int | None:
+    """Fewest words of the text between the template's words, aligned in order with at most GAP in one place; None if it can't be."""
+    reach: list[tuple[int, int]] = []  # (cost, place) of alignments up to the part before
+    for k, (words_, stems) in enumerate(template):
+        step: dict[int, int] = {}
+        for place, w in enumerate(text):
+            if w not in words_ and not (stems and w.startswith(stems)):
+                continue
+            if k == 0:
+                step[place] = 0
+                continue
+            costs = [cost + place - at - 1 for at, cost in reach if 0 <= place - at - 1 <= GAP]
+            if costs:
+                step[place] = min(costs)
+        if not step:
+            return None
+        reach = list(step.items())
+    return min(cost for _, cost in reach)
+
+
+def is_refusal(answer: str) -> bool:
+    """Whether a sentence of the answer aligns with a refusal template."""
+    for sentence in re.split(r"[.!?\n]+(?=\s|$)", answer):
+        text = _SAYINGS.sub(lambda m: "NOT" if m.group(1) else "NOPUEDO", " ".join(words(sentence))).split()
+        have = set(text)
+        for template, rare in zip(_COMPILED, _RARE):
+            if (rare is None or rare in have) and align(template, text) is not None:
+                return True
+    return False
+
 
 # Words a finished text does not end with.
 OPEN_WORDS = set(
@@ -145,7 +214,7 @@ def judge(question: str | None, answer: str | None) -> str | None:
         return "empty"
     if question and is_copy(question, answer):
         return "copied_question"
-    if REFUSAL.search(answer):
+    if is_refusal(answer):
         return "refusal"
     if question:
         asked, given = language(question), language(answer, least=2.0)

@@ -15,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import tokens
 from textloom.llm.languages import FUNCTION_WORDS
 
-MAX_TRAINING_DOCS = 4000  # bound of the labelled sample, about 6 MB of text
+MAX_TRAINING_DOCS = 4000  # bound of the labelled sample
+MAX_TRAINING_BYTES = 16_000_000  # bound of its texts on the driver; beyond it fewer documents are taken, never parts of them
 LEVELS = (1, 2, 3, 4)
 UNI_BITS, BI_BITS = 16, 18  # models are hashed arrays of fixed size
 U = np.uint64
@@ -146,12 +147,14 @@ def fit(texts: list[str], levels: list[int], folds: int = 4) -> Model:
     return final
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """Texts and levels of at most `most` rated documents, the first by a hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_DOCS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MAX_TRAINING_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and levels of at most `most` rated documents with most_bytes of text together, the first by a hash of the id."""
     rated = labels.where("level BETWEEN 1 AND 4").select(F.col("doc_id").alias("_id"), "level").groupBy("_id").agg(F.median("level").alias("_level"))
     some = F.broadcast(rated.orderBy(F.xxhash64("_id"), "_id").limit(most))  # bounded by `most`
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL AND _text <> ''").join(some, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most).collect()
-    return [r["_text"] for r in rows], [int(np.floor(r["_level"] + 0.5)) for r in rows]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text IS NOT NULL AND _text <> ''").join(some, "_id")
+    sizes = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over `most` rows
+    kept = rows.orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("_ahead", F.sum(F.octet_length("_text")).over(sizes)).where(F.col("_ahead") <= most_bytes).collect()
+    return [r["_text"] for r in kept], [int(np.floor(r["_level"] + 0.5)) for r in kept]
 
 
 class English:
