@@ -157,7 +157,9 @@ def test_pieces_frame(spark):
 
 def page(i):
     nav = "\n".join(("Home", "About", "Calendar", "Library", "Housing", "Contact"))
-    body = f"## Section {i}\n{PROSE}{PROSE}\n- Renew the card at Hall {i}.\n- Return the form at Hall {i + 1}.\n{PROSE}"
+    own = "abcdefghijklmnopqrstuvwxyz"[i % 26] * (2 + i // 26)  # pages of one site have bodies of their own
+    prose = PROSE.replace("registrar", own).replace("photo", f"{own}er")
+    body = f"## Section {i}\n{prose}{prose}\n- Renew the card at Hall {i}.\n- Return the form at Hall {i + 1}.\n{prose.replace('form', own)}"
     return f"Skip to content\n{nav}\nYou are here: Home / Page\nCookies help us count visits.\nAccept all\n{body}\nShare this page\n© {2000 + i} Example University\n{i} Mill Road, Town | Phone (555) 555-0{i:03d}", set(range(10)), set(range(15, 18))
 
 
@@ -167,6 +169,30 @@ def model():
     return mainbody.fit([m[0] for m in made], ["https://a.example/"] * 60)
 
 
+def test_labels_come_from_repetition():
+    made = [page(i) for i in range(12)]
+    one = mainbody.Lines.of([m[0] for m in made], ["https://a.example/"] * 12)
+    label = mainbody.repetition_labels(one, ["a.example"] * 12)
+    want = [k in made[r][1] | made[r][2] for r, k in zip(one.row.tolist(), one.number.tolist())]
+    assert all(bool(x) == w for x, w in zip(label.tolist(), want) if x >= 0) and (label >= 0).mean() > 0.8
+    apart = mainbody.repetition_labels(one, [f"{i}.example" for i in range(12)])
+    assert not (apart == 1).any()  # nothing repeats within these sites
+
+
+def test_pages_that_do_not_fit_are_left_out_alone():
+    good = "<main><h1>Title</h1><p>Some own text of the page.</p></main><footer><p>All rights are held.</p></footer>"
+    texts = [page(i)[0] for i in range(20)]
+    assert mainbody.fit(texts, ["https://a.example/"] * 20, [(good, None)] * 3).dropped_pages == 0
+
+
+def test_training_takes_sites_of_several_rows(spark):
+    rows = [(i, page(i)[0], "https://a.example/x", None) for i in range(40)] + [(100 + i, PROSE, f"https://s{i}.example/", None) for i in range(60)] + [(200, PROSE, None, None)]
+    df = spark.createDataFrame(rows, "rec_id long, text string, url string, source_type string")
+    assert mainbody.train(df, None, most_rows=30, most_hosts=5) is not None
+    assert mainbody.train(df.where("rec_id >= 100"), None, most_rows=30, most_hosts=5) is not None
+    assert mainbody.train(df.limit(0), None) is None
+
+
 def test_furniture(spark, model):
     made = [page(i) for i in range(70, 90)]
     df = spark.createDataFrame([(i, m[0], "https://a.example/", None) for i, m in enumerate(made)] + [(90, made[0][0], None, "pdf"), (91, None, None, None), (92, "", None, "web")], "rec_id long, text string, url string, source_type string")

@@ -5,8 +5,9 @@ lines and blocks from features of these nodes: density of words, links and funct
 (groups of words that furniture uses), depth (indent, heading and list level) and statistics of siblings. Hierarchical decoding
 picks one labelling of the tree, so that a block and its lines never contradict each other.
 
-Training labels are weak, from a bounded sample (MAX_TRAINING_ROWS rows and MAX_TRAINING_PAGES crawled pages): the mark-up of crawled pages
-(nav, aside, header and footer against main) and seed patterns for the kinds of furniture that these pages lack.
+Training labels are weak, from a bounded sample (MAX_TRAINING_ROWS rows of MAX_TRAINING_HOSTS sites and MAX_TRAINING_PAGES crawled
+pages): the mark-up of crawled pages (nav, aside, header and footer against main), and repetition of lines and of their patterns within
+a site. No list of phrases takes part; GROUPS has single words as attribute tokens.
 
 Defined cases: null and empty texts have no lines; rows whose source_type is "pdf" are not web rows and have no cases; blank lines
 are never furniture; a null source_type is a web row.
@@ -22,13 +23,16 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import boosting, tokens
+from textloom.llm import lines as lines_of
 from textloom.llm.languages import OF_WORD
 
 MAX_TRAINING_ROWS = 2500
+MAX_TRAINING_HOSTS = 25
+LEAST_SITE = 30  # rows of a site from which on it is used for training, where there are such sites
 MAX_TRAINING_PAGES = 300
 MAX_TRAINING_LINES = 12000
 
@@ -276,55 +280,56 @@ def features(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack((own, per_line)), blocks
 
 
-# Seed patterns for weak labels of lines, matched without case against the line with single spaces.
-SEEDS = re.compile(
-    r"^(?:\[?(?:skip|jump) (?:to|over)\b.*|toggle .{0,60}menu|\W*menu|search [^.]{2,60}|.{0,8}back to (?:the )?(?:top|start)\b.*|return to the .{2,60} index|↑.*"
-    r"|you are here\b.*|.*\bcookies?\b.{0,120}|.*\b(?:browser storage|identifiers on your device|essential ones cannot|nothing is sold|privacy (?:choices|page|policy|matters)|we and our vendors|read the notice for details)\b.*|\*\*privacy at .*"
-    r"|top of page\b.*|skip navigation\b.*|join [\d,]+ readers\b.*|\[?(?:accept(?: all)?|reject(?: all)?|decline(?: optional)?|got it|ok i agree|i agree|learn more|close|save choices|manage preferences|allow all)(?:\]\(#?\))?(?:\s*\[.{2,30}\]\(#?\))*"
-    r"|[\d,.]+ people (?:shared|liked|saved)\b.*|(?:follow us|pass it on|tell a friend|save for later|copy link|share this page|enjoyed this page|like this story|post it|send by email|print this article)\b[^.]*|enjoyed this page\?.*|\[?\w+\]\(\S*/go/\w+\)|.*\]\(\S*/go/\w+\)"
-    r"|get the .{2,60} newsletter\b.*|sign up for .{2,60}|.*\benter your email\b.*|.*\bpress subscribe\b.*"
-    r"|by (?:\S+ ){1,3}\S+, [^.]{3,60}|written for [^.]{3,80}|(?:posted|published|last updated|updated|last reviewed)(?: on)? \d[^.]{3,90}|story: .{2,60}\| ?photo: .*|.{3,90}\b\d+ min read|maintained by [^.]{3,70}"
-    r"|.*\buniversity (?:reserves the right|may not be held|is accredited|provides this material|publishes its annual|does not discriminate|complies with)\b.*|.*\b(?:all rights reserved|an equal access employer)\b.*"
-    r"|(?:©|copyright )\s*\d{4}.*|.*© \d{4}|\d+ (?:\S+ ){1,3}(?:road|street|avenue|lane)\b[^.]{0,60}(?:\(\d{3}\).*)?|call \(\d{3}\).*|.*\btel\. \(\d{3}\).*|\d{4} .{3,40} trustees"
-    r"|(?:\* ?|- ?)?\[(?:privacy notice|terms of use|site index|open records|title notice|consumer disclosures|emergency alerts|web feedback|accessibility statement|report a concern)\.?\]\(.*|.*\b(?:privacy notice|terms of use|site index|open records|title notice|consumer disclosures|report a concern|accessibility statement|emergency alerts|web feedback)\b(?: [|•].*)?"
-    r"|related pages|(?:#+ )?also in this section|quick links:.*|upcoming: .*|« previous .*|contact box: .*|.{3,60}, ext\. \d+|[\w.\-]+@[\w.\-]+|on this page|in this section)$"
-)
-
-
-def seeds(lines: Lines) -> np.ndarray:
-    """Weak labels of lines: 1 furniture, 0 body, -1 unknown."""
-    base, n = lines.base, len(lines.row)
-    label = np.full(n, -1)
+_DIGITS = re.compile("[0-9]+")
+_CAPITAL = re.compile(r"\b[^\W\d_a-z]\w*")
+_LOWER = re.compile("[a-z]{2}")
+LEAST_REPEATS = 3  # rows of a site's sample that hold a line, from which on it is taken for furniture
+
+
+def _support(keys: list[tuple | None], row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold the key of each line, its occurrences per such row); no rows where the key is None."""
+    rows: dict[tuple, set[int]] = {}
+    times: dict[tuple, int] = {}
+    for key, r in zip(keys, row.tolist()):
+        if key is not None:
+            rows.setdefault(key, set()).add(r)
+            times[key] = times.get(key, 0) + 1
+    n = np.array([len(rows[k]) if k is not None else 0 for k in keys], np.int64)
+    return n, np.array([times[k] / len(rows[k]) if k is not None else 0.0 for k in keys])
+
+
+def repetition_labels(lines: Lines, hosts: list[str]) -> np.ndarray:
+    """Weak labels of the lines of sampled rows, by repetition within their site: 1 furniture, 0 body, -1 unknown.
+
+    Furniture is a line in LEAST_REPEATS rows of the site, or one whose pattern (names and numbers left out) is, once a row, as
+    bylines and date stamps are; and a block of short lines under a short furniture line, as in a sidebar. Body are headings, prose
+    and blocks of lines that no other row of the site has, and rows of tables.
+    """
+    base, row, n = lines.base, lines.row, len(lines.row)
     col = lambda c: base[:, COL[c]]
-    label[(col("heading") > 0) & (col("sidebar") < 2)] = 0
-    label[(col("function_words") >= 4) & (col("words") >= 9) & (col("stop") > 0)] = 0
+    text = [SPACES.sub(" ", s) for s in lines.text.to_pylist()]
+    where = [hosts[r] for r in row.tolist()]
+    headed = (col("heading") > 0) | (col("bullet") > 0)  # these keep their numbers: numbered sections and items are the row's own
+    same, _ = _support([(h, (s if own else _DIGITS.sub("0", s)).lower()) for h, s, own in zip(where, text, headed)], row)
+    patterns = [(h, _DIGITS.sub("0", _CAPITAL.sub("N", s))) for h, s in zip(where, text)]
+    shaped = (col("bullet") == 0) & (col("heading") == 0) & (col("bar_first") == 0) & (col("tag") == 0) & (col("tabs") <= 1) & (col("wide_gaps") <= 2)
+    alike, times = _support([p if ok and _LOWER.search(p[1]) else None for p, ok in zip(patterns, shaped)], row)
+    once = same == 1
+    label = np.full(n, -1)
+    label[once & (col("heading") > 0)] = 0
+    label[once & (col("function_words") >= 4) & (col("words") >= 9) & (alike <= 1)] = 0
+    label[(alike >= LEAST_REPEATS) & (times <= 1.2)] = 1
+    label[same >= LEAST_REPEATS] = 1
     label[(col("bar_first") > 0) | (col("tag") > 0) | (col("tabs") > 1)] = 0
-    for i, text in enumerate(lines.text.to_pylist()):
-        s = SPACES.sub(" ", text).lower()
-        if SEEDS.match(s):
-            label[i] = 1
-    seps = np.maximum.reduce([col("bars"), col("dots"), col("arrows"), col("wide_gaps") * (col("caps") > 0)])
-    label[(label != 1) & (seps >= 3) & (col("nav") >= 2) & (col("bar_first") == 0) & (col("function_words") <= 3)] = 1
-    label[(label == -1) & (col("arrows") >= 1) & (col("words") <= 9) & (col("nav") >= 1)] = 1
-    block = lines.block - (lines.block[0] if n else 0)
-    first = np.flatnonzero(np.concatenate(([True], np.diff(block) != 0))) if n else np.zeros(0, int)
-    for a, b in zip(first, [*first[1:], n]):
-        span = slice(a, b)
-        if b - a >= 4 and col("words")[span].mean() <= 3.5 and col("digit_share")[span].max() < 0.05 and col("commas")[span].sum() == 0:
-            if (col("nav")[span] > 0).mean() >= 0.4 and (col("links")[span].sum() == 0 or (col("own_links")[span] > 0).mean() > 0.8):
-                label[span] = 1
-                continue
-        if b - a >= 3 and (label[span] == -1).mean() > 0.8 and a > 0 and lines.row[a - 1] == lines.row[a] and label[a - 1] == 1 and base[a - 1, COL["sidebar"]] >= 2 and b - a <= 8:
-            label[span] = np.where(label[span] == -1, 1, label[span])
+    first = np.flatnonzero(np.concatenate(([True], np.diff(lines.block) != 0))) if n else np.zeros(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), n]):
+        if b - a < 3:
             continue
-        if (label[span] == -1).all() and b - a >= 3 and ((col("commas")[span] > 0).mean() > 0.7 or (col("bullet")[span] >= 2).mean() > 0.7 or (col("digit_share")[span] > 0.04).mean() > 0.7 or ((col("links")[span] > 0).mean() > 0.7 and (col("own_links")[span] > 0).mean() < 0.3)):
-            label[span] = 0
-    for i in np.flatnonzero((label == -1) & (col("rule") > 0) & (col("chars") <= 12)):
-        follows = i + 1 < n and lines.row[i + 1] == lines.row[i] and (label[i + 1] == 1 or base[i + 1, COL["bold"]] > 0)
-        label[i] = 1 if follows else -1
-    for i in np.flatnonzero((label == -1) & (col("bold") > 0)):
-        if i + 1 < n and lines.row[i + 1] == lines.row[i] and label[i + 1] == 1:
-            label[i] = 1
+        led = a > 0 and row[a - 1] == row[a] and label[a - 1] == 1 and col("words")[a - 1] <= 6 and col("links")[a - 1] == 0
+        if led and (col("function_words")[a:b] < 3).all() and (col("commas")[a:b] == 0).all() and (col("bar_first")[a:b] + col("tag")[a:b] == 0).all():
+            label[a:b] = 1
+        elif once[a:b].mean() >= 0.7 and (label[a:b] != 1).all():
+            label[a:b] = 0
     return label
 
 
@@ -377,15 +382,16 @@ class _Page(HTMLParser):
 class Model:
     line: boosting.Boosted
     block: boosting.Boosted
+    dropped_pages: int = 0  # marked-up pages whose lines and labels did not fit each other
 
 
 def fit(texts: list[str], urls: list[str | None], pages: list[tuple[str, str | None]] = ()) -> Model:
-    """Trees for lines and blocks, from seed-labelled rows and marked-up pages."""
+    """Trees for lines and blocks, from rows labelled by repetition within their sites and from marked-up pages."""
     lines = Lines.of(texts, urls)
-    y = seeds(lines)
+    y = repetition_labels(lines, [host_of(u) for u in urls])
     x, z = features(lines)
-    block = lines.block
-    sets = [(x, y, z, block, lines)]
+    sets = [(x, y, z, lines.block, lines)]
+    dropped = 0
     if pages:
         page_lines, labels = [], []
         for html, _ in pages:
@@ -394,10 +400,14 @@ def fit(texts: list[str], urls: list[str | None], pages: list[tuple[str, str | N
             parser._end()
             keep = [(a, b) for a, b in zip(parser.lines, parser.labels) if b >= 0]
             page_lines.append("\n".join(a for a, _ in keep))
-            labels.extend(b for _, b in keep)
+            labels.append([b for _, b in keep])
         more = Lines.of(page_lines, [u for _, u in pages])
-        if len(more.row) == len(labels):
-            sets.append((*(lambda xz: (xz[0], np.array(labels), xz[1]))(features(more)), more.block, more))
+        fits = np.bincount(more.row, minlength=len(pages)) == np.array([len(x) for x in labels])
+        dropped = int((~fits).sum())
+        if fits.any():
+            more = more.some(fits[more.row]) if len(more.row) else more
+            known = np.array([b for x, ok in zip(labels, fits) if ok for b in x], np.int64)
+            sets.append((*(lambda xz: (xz[0], known, xz[1]))(features(more)), more.block, more))
     x = np.vstack([s[0] for s in sets])
     y = np.concatenate([s[1] for s in sets])
     known = np.flatnonzero(y >= 0)
@@ -411,6 +421,7 @@ def fit(texts: list[str], urls: list[str | None], pages: list[tuple[str, str | N
         if not len(bb):
             continue
         ok = yy >= 0
+        bb = bb - bb[0]
         n = np.bincount(bb, ok, minlength=bb[-1] + 1)
         s = np.bincount(bb, np.where(ok, yy, 0), minlength=bb[-1] + 1)
         pure = (n > 0) & ((s == 0) | (s == n))
@@ -418,7 +429,7 @@ def fit(texts: list[str], urls: list[str | None], pages: list[tuple[str, str | N
         y_all.append((s > 0)[pure])
         w_all.append(np.sqrt(n[pure]))
     model_block = boosting.fit(np.vstack(z_all), np.concatenate(y_all).astype(float), np.concatenate(w_all), trees=30)
-    return Model(model_line, model_block)
+    return Model(model_line, model_block, dropped)
 
 
 def decode(line_odds: np.ndarray, block_odds: np.ndarray, block: np.ndarray, row: np.ndarray, mixed: float = 1.0, weight: float = 0.7) -> np.ndarray:
@@ -465,10 +476,27 @@ def _sample(df: DataFrame, most: int) -> list:
     return df.orderBy(*df.columns).limit(most).collect()
 
 
-def train(rows: DataFrame, pages: DataFrame | None, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", kind_col: str = "source_type", most_rows: int = MAX_TRAINING_ROWS, most_pages: int = MAX_TRAINING_PAGES) -> Model | None:
-    """A model from at most most_rows web rows and most_pages pages, those with the smallest hashes of their ids."""
+def train(rows: DataFrame, pages: DataFrame | None, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", kind_col: str = "source_type", most_rows: int = MAX_TRAINING_ROWS, most_pages: int = MAX_TRAINING_PAGES, most_hosts: int = MAX_TRAINING_HOSTS) -> Model | None:
+    """A model from at most most_rows web rows of at most most_hosts sites, and most_pages pages; all by the smallest hashes.
+
+    Repetition can be seen only where a site has several rows in the sample, so sites come first: those with at least LEAST_SITE
+    rows, all sites where there are none, each with an equal part of most_rows.
+    """
     web = rows.where(F.coalesce(F.lower(F.trim(kind_col)), F.lit("")) != "pdf").where(F.length(text_col) > 0)
-    some = _sample(web.select(F.xxhash64(F.col(id_col)).alias("_o"), F.col(text_col).alias("t"), F.col(url_col).alias("u")), most_rows)
+    picked = web.select(lines_of.host(F.col(url_col)).alias("h"), F.xxhash64(F.col(id_col)).alias("_o"), F.col(text_col).alias("t"), F.col(url_col).alias("u"))
+    sites = picked.groupBy("h").agg(F.count("*").alias("n"))
+    chosen = sites.orderBy(F.col("n") < LEAST_SITE, F.xxhash64("h"), "h").limit(most_hosts).collect()
+    if not chosen:
+        return None
+    large = [r for r in chosen if r["n"] >= LEAST_SITE] or chosen
+    each = -(-most_rows // len(large))
+    bar = None  # of each site's hashes: keeps about twice its part, so that little is ordered
+    for r in large:
+        share = min(1.0, 2 * each / r["n"])
+        mine = F.col("h").eqNullSafe(F.lit(r["h"])) & (F.col("_o") <= F.lit(int(-(1 << 63) + ((1 << 64) - 1) * share) if share < 1 else (1 << 63) - 1))
+        bar = mine if bar is None else bar | mine
+    place = F.row_number().over(Window.partitionBy("h").orderBy("_o", "t"))  # of about 2 * each rows a site
+    some = picked.where(bar).withColumn("place", place).where(F.col("place") <= each).orderBy("_o", "t", "u").limit(most_rows).collect()
     crawled = []
     if pages is not None:
         good = pages.where("html IS NOT NULL AND html LIKE '%<main%' AND html LIKE '%</main>%'")
