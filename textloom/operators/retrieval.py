@@ -114,10 +114,30 @@ def search(queries: DataFrame, index: DataFrame, k: int = 5, query_id: str = "qu
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _sampled(index: DataFrame, id_col: str, vector_col: str, most: int) -> np.ndarray:
+    sample = index.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("v"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(most).collect()
+    return np.array([r["v"] for r in sample], np.float64)
+
+
+def probes_for(index: DataFrame, centres: np.ndarray, k: int = 5, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", most: int = SAMPLE_VECTORS, asked: int = 200) -> int:
+    """How many cells to probe so that a share `recall` of the k nearest is met: measured for `asked` vectors among at most `most`."""
+    x = _sampled(index, id_col, vector_col, most)
+    if len(x) <= k or not len(centres):
+        return max(1, len(centres))
+    q = x[:asked]
+    d = (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+    d[np.arange(len(q)), np.arange(len(q))] = np.inf
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    to = lambda v: (centres * centres).sum(axis=1)[None, :] - 2 * (v @ centres.T)
+    own = to(x).argmin(axis=1)
+    place = np.argsort(np.argsort(to(q), axis=1, kind="stable"), axis=1)  # of each cell in the order of a query
+    needed = np.take_along_axis(place, own[near], axis=1).reshape(-1)
+    return int(np.quantile(needed, recall, method="higher")) + 1
+
+
 def fit_cells(index: DataFrame, cells: int, id_col: str = "vec_id", vector_col: str = "embedding", most: int = SAMPLE_VECTORS, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Centres of k-means over at most `most` vectors, those with the smallest hashes of their ids."""
-    sample = index.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("v"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(most).collect()
-    x = np.array([r["v"] for r in sample], np.float64)
+    x = _sampled(index, id_col, vector_col, most)
     if not len(x):
         return np.zeros((0, 0))
     centres = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
