@@ -232,6 +232,8 @@ def test_kinds():
     for text in (PROSE * 3, (PROSE * 3).upper(), re.sub(r"[.,]", "", PROSE * 3).lower(), "Die Bibliothek erklärt die Warteliste vor dem Freitag, um einen Aufschlag zu vermeiden, wie mit dem Dekan vereinbart."):
         assert kind_of(text) == "prose"
     assert kind_of("Tour panel hall 58 " * 12) == "junk"
+    words = [f"{a} {b}" for a in ("fees", "hall", "audit", "grants") for b in ("verum", "noldal", "quinut", "vosta", "fasley")]
+    assert kind_of(" ".join(words)) == "junk" and kind_of(", ".join(words)) == "list"
 
 
 def test_repeated_function_words_are_junk():
@@ -262,13 +264,13 @@ def test_not_prose(spark):
 
 def test_the_score_decides(spark):
     """A body of 0.4 list is a case only where the other statistics are outliers too; its share alone, below the bar, is not."""
-    mixed = f"{PROSE}\n" + "\n".join(f"- Meal Plans, Town{i}" for i in range(4))
-    odd = "The registrar counter in the old hall asks students to return the form with 99 98 97 # % & * 55 44 $ 33 22 the photo card\n" + "\n".join(f"- Meal Plans, Town{i}" for i in range(4))
-    lists = [f"{PROSE}\n" + "\n".join(f"- Meal Plans, Town{i + k}" for i in range(4 + k % 9)) for k in range(60)]
+    mixed = f"{PROSE}\n" + "\n".join(f"- Meal Plans, Town{i}" for i in range(5))
+    odd = "The registrar counter in the old hall asks students to return the form with 99 98 97 # % & * 55 44 $ 33 22 the photo card\n" + "\n".join(f"- Meal Plans, Town{i}" for i in range(5))
+    lists = [f"{PROSE}\n" + "\n".join(f"- Meal Plans, Town{i + k}" for i in range(5 + k % 9)) for k in range(60)]
     rows = [(i, None, PROSE * (1 + i % 40), "pdf") for i in range(400)] + [(1000 + k, None, t, "pdf") for k, t in enumerate(lists)] + [(2000, None, mixed, "pdf"), (2001, None, odd, "pdf")]
     df = spark.createDataFrame(rows, "rec_id long, title string, text string, source_type string").withColumn("url", F.lit(None).cast("string"))
     scored = {r.id: r for r in quality.scored(quality.profile(df, None)).collect()}
-    assert 0.25 < scored[2000].list_share < 0.5 and 0.25 < scored[2001].list_share < 0.5
+    assert 0.4 < scored[2000].list_share < 0.5 and 0.4 < scored[2001].list_share < 0.5
     assert scored[2000].kind is None and scored[2001].margin > scored[2000].margin
     assert all((r.kind is not None) == (r.margin >= 0) for r in scored.values())
 

@@ -33,7 +33,7 @@ KINDS = ("junk", "table", "list")
 SHARES = tuple(f"{k}_share" for k in KINDS)
 CONTEXT = 0.1  # weight of the other statistics in the score of a kind
 TYPICAL = 0.4343  # mean of -log10 of a uniform tail probability
-LEAST_SHARE = 0.25  # of the main body that a kind must have, whatever its score
+LEAST_SHARE = 0.4  # of the main body that a kind must have, whatever its score
 MOST_WORD_LENGTH = 50.0
 
 WORD = re.compile(r"[^\W_]+")
@@ -140,8 +140,8 @@ def line_kind(line: str) -> str:
         return "prose"
     if n <= 7 and not STOP.search(s):
         return "list"
-    if n >= 12 and function < 0.04 * n:
-        return "list"
+    if n >= 12 and function < 0.04 * n:  # items where something parts them, else words heaped up at random
+        return "list" if 6 * sum(map(s.count, (",", ";", "|", "•", "·", "/", " - "))) >= n else "junk"
     return "prose"
 
 

@@ -87,7 +87,7 @@ def _wide(pattern: str, bounds: bool = False) -> str:
 # For RE2 over whole batches: the grammars without their conditions. What it passes is read again by the grammars.
 PREFILTER = "|".join(f"(?:{_wide(g)})" for k, g in GRAMMARS.items() if k != "x_fill") + "|XX"  # x_fill refers back, which RE2 can't
 # Words by which a text explains templates instead of holding one unfilled.
-TUTORIAL = re.compile(r"(?i)\b(?:placeholders?|template (?:language|syntax|tag|engine|file|variable)s?|templat(?:e|ing) tutorial|merge (?:fields?|tags?)|mail merge|variables?|syntax|notation|curly|braces|delimiters?|escaped?|snippet|tutorial|writes? (?:it|them) as|(?:is|are) written|for example, type|expands? to|substitut\w+|interpolat\w+|regular expressions?|source code|programming|set notation)\b")
+TUTORIAL = re.compile(r"(?i)\b(?:placeholders?|template (?:language|syntax|tag|engine|file|variable)s?|templat(?:e|ing) tutorial|programming tutorial|merge (?:fields?|tags?)|mail merge|variables?|syntax|notation|curly|braces|delimiters?|escaped?|snippet|writes? (?:it|them) as|(?:is|are) written|for example, type|expands? to|substitut\w+|interpolat\w+|regular expressions?|source code|programming|set notation)\b")
 _FENCE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(code|pre)\b.*?</\1>", re.S | re.I)
 _INDENTED = re.compile(r"(?m)^(?: {4}|\t).*[;{}=()].*$")
 
