@@ -30,14 +30,14 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: i
     """Trees for labels y of 0 and 1. The first-best test per level, over all leaves at once."""
     n, m = x.shape
     w = np.ones(n) if weight is None else weight
-    edges, codes = [], np.empty((n, m), np.int64)
+    edges, codes = [], np.empty((m, n), np.int64)  # a row per feature, so that histograms read it in one go
     for j in range(m):
         e = np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="nearest")) if n else np.zeros(0)
         values = np.unique(x[:, j])
         if len(values) <= bins:
             e = values[:-1]
         edges.append(e)
-        codes[:, j] = np.searchsorted(e, x[:, j], side="left")
+        codes[j] = np.searchsorted(e, x[:, j], side="left")
     width = bins + 1
     rate_of = np.clip((w * y).sum() / max(w.sum(), 1e-9), 1e-3, 1 - 1e-3)
     base = float(np.log(rate_of / (1 - rate_of)))
@@ -51,10 +51,11 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: i
         for k in range(depth):
             best = (-np.inf, 0, 0)
             size = 1 << k
+            base_key = leaf * width
             for j in range(m):
                 if not len(edges[j]):
                     continue
-                key = leaf * width + codes[:, j]
+                key = base_key + codes[j]
                 gs = np.bincount(key, g, size * width).reshape(size, width).cumsum(axis=1)
                 hs = np.bincount(key, h, size * width).reshape(size, width).cumsum(axis=1)
                 gl, hl, gt, ht = gs[:, :-1], hs[:, :-1], gs[:, -1:], hs[:, -1:]
@@ -65,7 +66,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: i
             _, j, c = best
             fs.append(j)
             cs.append(edges[j][c] if len(edges[j]) else np.inf)
-            leaf |= (codes[:, j] > c).astype(np.int64) << k
+            leaf |= (codes[j] > c).astype(np.int64) << k
         gs = np.bincount(leaf, g, 1 << depth)
         hs = np.bincount(leaf, h, 1 << depth)
         value = rate * gs / (hs + smooth)

@@ -35,7 +35,7 @@ def normal(line: Column) -> Column:
 
 def occurrences(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text", url_col: str = "url", with_line: bool = False) -> DataFrame:
     """(id, line_no, node, check, next) of each line that counts. node and check are two hashes of site and line, next is the node
-    of the next line of the row that counts, null for the last one. with_line adds the line.
+    of the next line of the row that counts, null for the last one. with_line adds site and line.
 
     Lines are normalised and joined with their successors inside the array, before it is exploded: the optimiser can't repeat the
     expressions, and no shuffle brings the lines of a row together again.
@@ -51,7 +51,8 @@ def occurrences(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text",
         return F.when(F.size(a) > 0, F.zip_with(a, following, lambda s, n: F.struct(s.alias("s"), n.alias("next"))))
 
     texts = rows.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("site"), F.col(text_col).alias("text")).where("site IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return texts.select("id", F.explode(let(keyed, chained)).alias("o")).select("id", "o.s.*", "o.next")
+    extra = ["site"] if with_line else []
+    return texts.select("id", *extra, F.explode(let(keyed, chained)).alias("o")).select("id", *extra, "o.s.*", "o.next")
 
 
 def nodes(found: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
@@ -113,8 +114,11 @@ def repeated_lines(rows: DataFrame, least: int = LEAST_ROWS, id_col: str = "rec_
 
 
 def blocks(repeated: DataFrame) -> DataFrame:
-    """(node, check, block, support, line): the lines of each block, from repeated_lines(with_line=True)."""
-    return repeated.groupBy("node", "check").agg(F.min("line").alias("line"), F.first("support").alias("support"), F.first("block").alias("block"))
+    """(node, check, site, line, support, block, name): the lines of each block, from repeated_lines(with_line=True). name is the
+    smallest site and line of the block, so that blocks can be compared without hashes."""
+    lines = repeated.groupBy("node", "check").agg(F.min("site").alias("site"), F.min("line").alias("line"), F.first("support").alias("support"), F.first("block").alias("block"))
+    names = lines.groupBy("block").agg(F.min(F.concat_ws(" ", "site", "line")).alias("name"))
+    return lines.join(names, "block")
 
 
 def without_repeated(rows: DataFrame, repeated: DataFrame, id_col: str = "rec_id", text_col: str = "text") -> DataFrame:

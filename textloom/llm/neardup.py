@@ -51,6 +51,7 @@ PAIRS_PER_CELL = 50_000  # candidates that are verified together
 MOST_BROADCAST_IDS = 2_000_000
 HOT_CLASS, HOT_PARTS = 1_000, 64  # classes with more rows are split over this many parts when pairs of rows are listed
 GROUP_ROWS = 4_096  # rows whose shingles are hashed together: their number fits 12 bits
+ELEMENTS_AT_ONCE = 3_000_000  # of the sets whose postings are made together
 GROUP_SETS = 16_384  # sets whose postings are packed together: their number fits 14 bits
 LEVELS = 8
 ALL_BITS = U((1 << 48) - 1)
@@ -470,9 +471,15 @@ class Join:
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                chunks = list(sets(batch))
-                if chunks:
-                    yield from pack(chunks)
+                held, size = [], 0
+                for chunk in sets(batch):
+                    held.append(chunk)
+                    size += len(chunk[3])
+                    if size > ELEMENTS_AT_ONCE:
+                        yield from pack(held)
+                        held, size = [], 0
+                if held:
+                    yield from pack(held)
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blobs_: list[tuple] = []

@@ -5,15 +5,15 @@ from __future__ import annotations
 _NORMAL = r"""trim(regexp_replace(regexp_replace(lower(raw), '[0-9]+', '0', 'g'), '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f\x{0085}\x0b]+', ' ', 'g'))"""
 _HOST = r"""regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/@?#]*@)?(?:www\.)?([^/:?#\s]+)', 1)"""
 
-P2_FOUND = r"""
+_P2 = r"""
 WITH words AS (
   SELECT rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM combined_campus_data WHERE text IS NOT NULL
 ), sets AS (
   SELECT rec_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(list_slice(w, k, k + 2), ' ')))) AS s FROM words WHERE len(w) >= 30
 ), class AS (
-  SELECT s, min(rec_id) AS cid FROM sets GROUP BY s
+  SELECT s, min(rec_id) AS cid, count(*) AS copies FROM sets GROUP BY s
 ), member AS (
-  SELECT rec_id, cid FROM sets JOIN class USING (s)
+  SELECT rec_id, cid, copies FROM sets JOIN class USING (s)
 ), element AS (
   SELECT cid, len(s) AS n, unnest(s) AS e FROM class
 ), shared AS (
@@ -23,10 +23,16 @@ WITH words AS (
 ), link AS (
   SELECT a, b FROM shared WHERE n_both >= 0.6 * (na + nb - n_both) - 1e-9
 )
+"""
+P2_FOUND = _P2 + """
 SELECT least(p.rec_id, q.rec_id) AS rec_a, greatest(p.rec_id, q.rec_id) AS rec_b FROM link JOIN member p ON p.cid = link.a JOIN member q ON q.cid = link.b
 UNION ALL SELECT p.rec_id AS rec_a, q.rec_id AS rec_b FROM member p JOIN member q ON p.cid = q.cid AND p.rec_id < q.rec_id
 """
 
+P2_CLASSES = _P2 + """, degree AS (SELECT cid, count(*) AS links FROM (SELECT a AS cid FROM link UNION ALL SELECT b FROM link) GROUP BY cid)
+SELECT rec_id, cid AS class_id, copies, coalesce(links, 0) AS links FROM member LEFT JOIN degree USING (cid)
+"""
+
 _P3 = rf"""
 WITH raw_lines AS (
   SELECT rec_id, {_HOST} AS site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
@@ -39,6 +45,13 @@ WITH raw_lines AS (
   SELECT site, line FROM counted GROUP BY site, line HAVING count(DISTINCT rec_id) >= 8
 ), found AS (SELECT rec_id, line_no FROM counted JOIN kept USING (site, line))
 """
+P3_BLOCKS = _P3.replace("WITH raw_lines", "WITH RECURSIVE raw_lines", 1) + """, node AS (SELECT site, line, count(DISTINCT rec_id) AS support FROM counted GROUP BY site, line HAVING count(DISTINCT rec_id) >= 8),
+chain AS (SELECT rec_id, site, line, lead(line) OVER (PARTITION BY rec_id ORDER BY line_no) AS following FROM counted),
+edge AS (SELECT site, line AS u, following AS v FROM chain WHERE following <> line GROUP BY site, line, following HAVING count(DISTINCT rec_id) >= 8),
+both_ways AS (SELECT site, u, v FROM edge UNION SELECT site, v, u FROM edge),
+reach(site, a, b) AS (SELECT site, line, line FROM node UNION SELECT r.site, r.a, e.v FROM reach r JOIN both_ways e ON e.site = r.site AND e.u = r.b)
+SELECT min(r.site || ' ' || r.b) AS block, n.site, n.line, any_value(n.support) AS support FROM node n JOIN reach r ON r.site = n.site AND r.a = n.line GROUP BY n.site, n.line
+"""
 P3_FOUND = _P3 + "SELECT rec_id, line_no FROM found"
 P3_CLEAN = _P3 + """, own AS (
   SELECT rec_id, unnest(string_split(text, chr(10))) AS raw, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM combined_campus_data WHERE text IS NOT NULL
@@ -62,4 +75,22 @@ WITH words AS (
 SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i USING (run) WHERE d.side = 'd' AND i.side = 'i'
 """
 
-ORACLES: dict[str, str] = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_clean": P3_CLEAN, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+# Runs of equal words on a diagonal, and two of them with one word changed, added or left out between.
+P8_NEAR = r"""
+WITH d AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL)),
+i AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS q FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL)),
+same AS (SELECT doc_id, item_id, p, p - q AS diagonal FROM d JOIN i USING (w)),
+grouped AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS g FROM same),
+runs AS (SELECT doc_id, item_id, diagonal, min(p) AS a, max(p) AS b FROM grouped GROUP BY doc_id, item_id, diagonal, g),
+long_ones AS (SELECT DISTINCT doc_id, item_id FROM runs WHERE b - a + 1 >= 8),
+r AS (SELECT * FROM runs JOIN long_ones USING (doc_id, item_id)),
+whole AS (
+  SELECT doc_id, item_id, b - a + 1 AS n FROM r
+  UNION ALL SELECT x.doc_id, x.item_id, y.b - x.a AS n FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.diagonal = y.diagonal AND y.a = x.b + 2
+  UNION ALL SELECT x.doc_id, x.item_id, y.b - x.a AS n FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND y.diagonal = x.diagonal + 1 AND greatest(x.a, y.a - 2) <= least(x.b, y.b - 2)
+  UNION ALL SELECT x.doc_id, x.item_id, y.b - x.a + 1 AS n FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND y.diagonal = x.diagonal - 1 AND greatest(x.a, y.a - 1) <= least(x.b, y.b - 1)
+)
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS run FROM whole GROUP BY doc_id, item_id HAVING max(n) >= 16
+"""
+
+ORACLES: dict[str, str] = {"p2_found": P2_FOUND, "p2_classes": P2_CLASSES, "p3_found": P3_FOUND, "p3_blocks": P3_BLOCKS, "p3_clean": P3_CLEAN, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_near": P8_NEAR}

@@ -66,7 +66,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Kept lines with the boilerplate block (connected component of consecutive lines) they belong to."""
     found = lines.repeated_lines(_table(spark, sf, "combined_campus_data"), with_line=True)
-    return lines.blocks(found).select("block", "line", "support")
+    return lines.blocks(found).select(F.col("name").alias("block"), "site", "line", "support")
 
 
 def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
