@@ -77,3 +77,9 @@ def test_combine_drops_error_pages_and_clashing_columns(spark):
     web = spark.createDataFrame([("404", "x", 1), ("Terror watch", "x", 2), ("ok", "A" * 250 + "error", 3), (None, None, 4)], "title string, text string, extra int")
     pdf = spark.createDataFrame([("p", "fine", "z")], "title string, text string, other string")
     assert sorted(r.title or "" for r in records.combine(web, pdf).collect()) == ["", "ok", "p"]
+
+
+def test_authority_without_a_scheme(spark):
+    df = spark.createDataFrame([("//a.tarnbrook.example/x",), ("https://u@h:80/p",), ("/x",), (None,), ("a:b",)], "u string")
+    assert [r[0] for r in df.select(urls.authority(F.col("u"))).collect()] == ["a.tarnbrook.example", "u@h:80", "", None, ""]
+    assert df.select(urls.admitted(F.col("u"))).first()[0]

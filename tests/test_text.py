@@ -84,3 +84,8 @@ def test_page_text(spark, blocks, expected):
     tree = [{"type": k, "lines": [{"spans": [{"text": s} for s in spans]} for spans in lines]} for k, lines in blocks]
     df = spark.createDataFrame([(tree,)], "b array<struct<type:int,lines:array<struct<spans:array<struct<text:string>>>>>>")
     assert df.select(text.page_text(F.col("b"))).first()[0] == expected
+
+
+def test_page_numbers_of_any_digits(spark):
+    rows = [("a\n 12 \n²³\n①\n1234\n٣\nx1",)]
+    assert spark.createDataFrame(rows, "t string").select(text.drop_page_numbers(F.col("t"))).first()[0] == "a\n1234\nx1"

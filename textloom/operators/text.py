@@ -42,9 +42,13 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), " {2,}", " ")
 
 
+# Digits that are no decimals, such as superscripts and circled ones; the rule is Python's own, so that both agree.
+OTHER_DIGITS = "".join(chr(c) for c in range(0x110000) if chr(c).isdigit() and not chr(c).isdecimal())
+
+
 def drop_page_numbers(text: Column) -> Column:
-    """text without lines of up to three digits, then stripped."""
-    return strip(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~strip(x).rlike(r"(?U)\A\d{1,3}\z")), "\n"))
+    """text without lines of up to three digits, then stripped. Superscripts and the like are digits too."""
+    return strip(F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~strip(x).rlike(rf"(?U)\A[\d{OTHER_DIGITS}]{{1,3}}\z")), "\n"))
 
 
 def clean_pdf(text: Column, site: Site = DEFAULT_SITE) -> Column:

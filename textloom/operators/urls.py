@@ -17,8 +17,8 @@ from textloom.session import cut
 
 
 def authority(url: Column) -> Column:
-    """User, host and port as written; empty where there is none."""
-    return F.regexp_extract(url, r"\A[^:/?#]+://([^/?#]*)", 1)
+    """User, host and port as written, also of a url without a scheme (//host/path); empty where there is none."""
+    return F.regexp_extract(url, r"\A(?:[^:/?#]+:)?//([^/?#]*)", 1)
 
 
 def path(url: Column) -> Column:

@@ -47,7 +47,7 @@ ERR = f"({any_of('lower(coalesce(title, ' + q('') + '))', ERROR_SIGNS)} OR {any_
 TRAIN_ERR = ERR.replace(f" OR contains(lower(coalesce(title, '')), {q(ERROR_SIGNS[-1])})", "").replace(f" OR contains(left(lower(coalesce(text, '')), 200), {q(ERROR_SIGNS[-1])})", "")
 assert len(TRAINING_ERROR_SIGNS) == len(ERROR_SIGNS) - 1
 ELIGIBLE = f"coalesce(length(text) BETWEEN 200 AND 3000 AND NOT {TRAIN_ERR} AND NOT {any_of('lower(text)', TRAINING_BOILERPLATE)}, false)"
-AUTH = lambda u: f"regexp_extract({u}, '^[^:/?#]+://([^/?#]*)', 1)"
+AUTH = lambda u: f"regexp_extract({u}, '^(?:[^:/?#]+:)?//([^/?#]*)', 1)"
 PATH = lambda u: f"regexp_extract({u}, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
 HREFS = """coalesce(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1), [])"""
 WEB = "source_type IS NULL OR source_type <> 'pdf'"
