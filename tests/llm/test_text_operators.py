@@ -122,6 +122,14 @@ def test_endings_come_from_the_table(spark):
     assert pairs.defects(df.limit(0)).count() == 0
 
 
+def test_more_defects():
+    assert pairs.judge("Where can I get help with tutoring?", "Allez au pavillon Ruskoltton, salle 316, ouvert jusqu'à 1 heures.") == "other_language"
+    assert pairs.judge("Where can I get help with tutoring?", "Thanks for asking. No answer can be given by me here.") == "refusal"
+    assert pairs.judge("Where can I get help with tutoring?", "The desk cannot refund this later.") is None
+    assert pairs.judge("Who teaches it?", "Professor Arloltmont, Istarvvale Hall, 5 credits") is None
+    assert pairs.align(pairs._COMPILED[0], "i really NOT at all answer that".split()) == 3 and pairs.align(pairs._COMPILED[0], "i NOT a b c d answer".split()) is None
+
+
 def test_subsequence():
     assert pairs.common_subsequence("a b c b d".split(), "b d c a b a".split()) == 3
     assert pairs.common_subsequence([], ["a"]) == 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.languages import language
+from textloom.llm.languages import language, scores
 
 DEFECTS = ("empty", "copied_question", "refusal", "other_language", "truncated")
 WORD = re.compile(r"[^\W_]+")
@@ -51,6 +51,7 @@ CLASSES = {
     "ESA": "esa la esta suficiente ninguna acceso",
     "NEGARME": "negarme rechazar declinar abstenerme",
     "HECHO": "answered fulfilled processed completed",
+    "GIVEN": "given provided offered supplied shared",
 }
 # Ways to say no, each read as the one word NOT (or NO PUEDO) before templates are aligned.
 SAY_NOT = (
@@ -64,7 +65,7 @@ TEMPLATES = [
     "I NOT DO", "I must DECLINE", "I have to DECLINE", "I need to DECLINE", "I will DECLINE", "I would like to DECLINE", "I am not comfortable", "I m not comfortable", "I do not feel comfortable", "I don t feel comfortable", "I do not HAVE INFO", "I don t HAVE INFO", "I did not HAVE INFO",
     "I didn t HAVE INFO", "I NOT HAVE INFO", "it is not possible for ME", "it isn t possible for ME", "it s not possible for ME", "it is impossible for ME", "not something that I can", "not something I can", "not a QUESTION I can", "not a QUESTION that I can", "not a QUESTION I am", "not enough INFO for ME", "not enough INFO to DO",
     "insufficient INFO for ME", "insufficient INFO to DO", "no INFO for ME", "no INFO to DO", "as an AI", "as a AI model", "against my RULES", "against our RULES", "outside MY SCOPE", "beyond MY SCOPE", "I am SORRY NOT DO", "I m SORRY NOT DO", "unable to DO THIS QUESTION", "unable to DO THIS", "THIS QUESTION NOT be HECHO",
-    "THIS QUESTION may not be HECHO", "NOPUEDO HACER", "no DISPONER de ESA", "no DISPONER ESA", "debo NEGARME", "me niego a", "prefiero no HACER",
+    "THIS QUESTION may not be HECHO", "no INFO can be GIVEN", "no INFO could be GIVEN", "no INFO will be GIVEN", "NOPUEDO HACER", "no se puede HACER", "no DISPONER de ESA", "no DISPONER ESA", "debo NEGARME", "me niego a", "prefiero no HACER",
 ]
 GAP = 3
 
@@ -175,7 +176,8 @@ def is_copy(question: str, answer: str) -> bool:
 def last_words(text: str) -> str:
     """The last three words, with digits as 0 and names as N: the key of a sentence end."""
     tail = re.findall(r"[^\W_]+", text[-120:])[-3:]
-    return " ".join("0" if w.isdigit() else "N" if w[:1].isupper() else w for w in tail)
+    key = " ".join("0" if w.isdigit() else "N" if w[:1].isupper() else w for w in tail)
+    return "" if len(tail) < 3 and set(key.split()) <= {"0", "N"} else key  # a number or name alone tells nothing
 
 
 def ending(text: str) -> str:
@@ -218,6 +220,9 @@ def judge(question: str | None, answer: str | None) -> str | None:
         return "refusal"
     if question:
         asked, given = language(question), language(answer, least=2.0)
+        if given == "und":  # a short text: one function word of another language is enough if there is none of the question's
+            found, _ = scores(answer)
+            given = language(answer) if not found.get(asked) else given
         if "und" not in (asked, given) and asked != given:
             return "other_language"
     end = ending(answer)
@@ -252,6 +257,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for line in (text or "").split("\n"):  # whole items of lists end without a stop, unless they are last
                     if LIST_LINE.match(line) and not text.endswith(line):
                         keys[k] = keys.get(k := last_words(line), 0) + 1
+        keys.pop("", None)
         yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()), pa.array(list(keys.values()), pa.int64())], ["key", "n"])
 
 
