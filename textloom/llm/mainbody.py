@@ -483,18 +483,16 @@ def train(rows: DataFrame, pages: DataFrame | None, id_col: str = "rec_id", text
     rows, all sites where there are none, each with an equal part of most_rows.
     """
     web = rows.where(F.coalesce(F.lower(F.trim(kind_col)), F.lit("")) != "pdf").where(F.length(text_col) > 0)
-    picked = web.select(lines_of.host(F.col(url_col)).alias("h"), F.xxhash64(F.col(id_col)).alias("_o"), F.col(text_col).alias("t"), F.col(url_col).alias("u"))
+    picked = web.select(F.coalesce(lines_of.host(F.col(url_col)), F.lit("")).alias("h"), F.xxhash64(F.col(id_col)).alias("_o"), F.col(text_col).alias("t"), F.col(url_col).alias("u"))
     sites = picked.groupBy("h").agg(F.count("*").alias("n"))
     chosen = sites.orderBy(F.col("n") < LEAST_SITE, F.xxhash64("h"), "h").limit(most_hosts).collect()
     if not chosen:
         return None
     large = [r for r in chosen if r["n"] >= LEAST_SITE] or chosen
     each = -(-most_rows // len(large))
-    bar = None  # of each site's hashes: keeps about twice its part, so that little is ordered
-    for r in large:
-        share = min(1.0, 2 * each / r["n"])
-        mine = F.col("h").eqNullSafe(F.lit(r["h"])) & (F.col("_o") <= F.lit(int(-(1 << 63) + ((1 << 64) - 1) * share) if share < 1 else (1 << 63) - 1))
-        bar = mine if bar is None else bar | mine
+    bounds = {r["h"]: int(-(1 << 63) + ((1 << 64) - 1) * (2 * each / r["n"])) if 2 * each < r["n"] else (1 << 63) - 1 for r in large}
+    # of each site's hashes: keeps about twice its part, so that little is ordered; a map, so that the host is found once a row
+    bar = F.col("_o") <= F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)).cast("map<string,bigint>")[F.col("h")]
     place = F.row_number().over(Window.partitionBy("h").orderBy("_o", "t"))  # of about 2 * each rows a site
     some = picked.where(bar).withColumn("place", place).where(F.col("place") <= each).orderBy("_o", "t", "u").limit(most_rows).collect()
     crawled = []
